@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_files
+from . import chat, mixing, packing, token_files
 from .exact_dedup import exact_dedup
 from .tokens import public_path
 
@@ -27,6 +27,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(token_files.write_shards(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.trees(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,10 +39,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
+    "op9_chat": op9_chat,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op9_chat": chat.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": r"""
 WITH n AS (
