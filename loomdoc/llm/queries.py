@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, token_files
+from . import chat, gif, mixing, packing, token_files
 from .exact_dedup import exact_dedup
 from .tokens import public_path
 
@@ -27,6 +27,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(token_files.write_shards(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
 
 
+def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.documents_as_gif(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.trees(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -36,6 +40,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_gif": op4_gif,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
