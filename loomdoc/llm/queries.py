@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, mixing, packing, token_files
+from . import chat, gif, mixing, packing, token_files, toxicity
 from .exact_dedup import exact_dedup
 from .tokens import public_path
 
@@ -31,6 +31,10 @@ def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.documents_as_gif(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.trees(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_exact_dedup": op10_exact_dedup,
 }
