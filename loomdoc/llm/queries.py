@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, mixing, packing, simhash, token_files, toxicity
+from . import chat, gif, mixing, packing, simhash, suffix_dedup, token_files, toxicity
 from .exact_dedup import exact_dedup
 from .tokens import public_path
 
@@ -27,6 +27,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(token_files.write_shards(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_gif": op4_gif,
     "op5_packing": op5_packing,
