@@ -64,6 +64,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # ids on several rows, of which some stay: those rows are told apart by their text
     mixed = materialize(state.where("some = 1 and n > kept_n or doc_id is null").select("doc_id"), "exact-mixed")
     rest = drop_ids(docs, gone, id_col)
+    if mixed.isEmpty():
+        return rest
     key, sha, best = fresh(docs, "mixed_id", "mixed_sha", "mixed_keep")
     mixed_ids = mixed.toDF(key)
     same = col(rest, id_col).eqNullSafe(mixed_ids[key])
