@@ -352,7 +352,7 @@ q AS (SELECT page_id, string_agg(CASE WHEN parts[i] LIKE '<b>%' THEN '<p>' || pa
       FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM q0) GROUP BY page_id)"""
 
 
-@query("to_html", f"WITH {_PARTS} SELECT page_id, {markup("regexp_extract(html, '(.*</h1>)', 1, 's') || body || regexp_extract(html, '(</article>.*)', 1, 's')")} AS value FROM pages JOIN q USING (page_id)")
+@query("to_html", f"WITH {_PARTS} SELECT page_id, {markup("regexp_extract(html, '(.*</h1>)', 1, 's') || body || regexp_extract(html, '(</article>.*)', 1, 's') || CASE WHEN ends_with(html, '</html>') THEN '' ELSE '</body></html>' END")} AS value FROM pages JOIN q USING (page_id)")
 def to_html(spark, sf_dir):
     return dom.parse(table(spark, sf_dir, "pages")).select(page_id(), F.col("doc_html").alias("value"))
 
