@@ -56,9 +56,21 @@ class Node:
         child.parent = self
         self.children.append(child)
 
+    def place(self) -> int:
+        """Its index among its siblings. What moves is near the end."""
+        siblings = self.parent.children
+        at = len(siblings) - 1
+        while siblings[at] is not self:
+            at -= 1
+        return at
+
+    def insert_before(self, node: Node) -> None:
+        node.parent = self.parent
+        self.parent.children.insert(self.place(), node)
+
     def detach(self) -> None:
         if self.parent is not None:
-            self.parent.children.remove(self)
+            del self.parent.children[self.place()]
             self.parent = None
 
     def attr(self, name: str) -> str | None:
@@ -159,11 +171,7 @@ class TreeBuilder:
         if foster:
             table = next((n for n in reversed(self.stack) if n.tag == "table"), None)
             if table is not None and table.parent is not None:
-                siblings = table.parent.children
-                node.parent = table.parent
-                # a table is near the end of its parent
-                at = len(siblings) - 1 - siblings[::-1].index(table)
-                siblings.insert(at, node)
+                table.insert_before(node)
                 return
         self.current.append(node)
 
@@ -370,10 +378,7 @@ class TreeBuilder:
             moved.detach()
             if ancestor.tag in FOSTERS:
                 above = self.stack[:at]
-                table = next(n for n in reversed(above) if n.tag == "table")
-                siblings = table.parent.children
-                moved.parent = table.parent
-                siblings.insert(siblings.index(table), moved)
+                next(n for n in reversed(above) if n.tag == "table").insert_before(moved)
             else:
                 ancestor.append(moved)
             copy = formatting.clone()

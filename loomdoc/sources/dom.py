@@ -158,6 +158,12 @@ def parse_one(source: str | bytes | None, options: ParseOptions) -> dict:
     return out
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """pages over as many partitions as there are cores, if they are fewer: parsing is bound by CPU, and a small table is one split."""
+    n = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(n) if pages.rdd.getNumPartitions() < n else pages
+
+
 def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", options: ParseOptions = ParseOptions()) -> DataFrame:
     """A row per document: DOCS. html_col is STRING or BINARY; of bytes the encoding is detected."""
 
@@ -167,7 +173,7 @@ def parse(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", opt
             kinds = {"doc_id": pa.int64(), "node_count": pa.int32(), "encoding": pa.string(), "error": pa.string(), "doc_text": pa.string(), "doc_html": pa.string(), "nodes": pa.list_(ARROW_NODE)}
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in kinds.items()], list(kinds))
 
-    return pages.select(F.col(id_col).cast("long").alias("doc_id"), html_col).mapInArrow(run, DOCS)
+    return spread(pages.select(F.col(id_col).cast("long").alias("doc_id"), html_col)).mapInArrow(run, DOCS)
 
 
 def nodes(parsed: DataFrame, where: Column | None = None, text_content: bool = False, inner_html: bool = False, outer_html: bool = False) -> DataFrame:
@@ -200,7 +206,7 @@ def tokens(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
                 cols = [pa.array([t[n] for t in found], k) for n, k in kinds.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), *cols], ["doc_id", "seq", *kinds])
 
-    return pages.select(F.col(id_col).cast("long").alias("doc_id"), html_col).mapInArrow(run, f"doc_id long, {TOKEN}")
+    return spread(pages.select(F.col(id_col).cast("long").alias("doc_id"), html_col)).mapInArrow(run, f"doc_id long, {TOKEN}")
 
 
 def delimiters(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.builder import Node, TreeBuilder
-from ..sources.dom import number
+from ..sources.dom import number, spread
 from ..sources.tokenizer import scan
 
 EARLY = "doc_id long, matched boolean, completeness string, chars_consumed long, node_count int, pre int, tag string, text string, text_content string, outer_html string"
@@ -75,4 +75,4 @@ def parse_until(pages: DataFrame, predicate: NodePredicate, mode: str = "created
             kinds = {"doc_id": pa.int64(), "matched": pa.bool_(), "completeness": pa.string(), "chars_consumed": pa.int64(), "node_count": pa.int32(), "pre": pa.int32(), "tag": pa.string(), "text": pa.string(), "text_content": pa.string(), "outer_html": pa.string()}
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], k) for n, k in kinds.items()], list(kinds))
 
-    return pages.select(F.col(id_col).cast("long").alias("doc_id"), html_col).mapInArrow(run, EARLY)
+    return spread(pages.select(F.col(id_col).cast("long").alias("doc_id"), html_col)).mapInArrow(run, EARLY)
