@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, gif, mixing, packing, simhash, suffix_dedup, token_files, toxicity
+from . import chat, gif, line_dedup, mixing, packing, simhash, suffix_dedup, token_files, toxicity
 from .exact_dedup import exact_dedup
 from .tokens import public_path
 
@@ -31,6 +31,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_gif": op4_gif,
     "op5_packing": op5_packing,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op9_chat": chat.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": r"""
