@@ -12,7 +12,8 @@ of words each (``max_words``); every document is scored by its whole text, in
 one pass over the table without a shuffle.
 
 A word is a run of ASCII letters and digits and of characters beyond ASCII,
-lower-cased in ASCII; its presence counts, once a text.
+lower-cased in ASCII. Words and their first four and five bytes are features,
+present or not, so that inflected forms that were never labelled are known, too.
 
 Defined cases: a null or empty text has no words and gets the models' base
 rates; labels with a null aren't used; of several labels of an id the largest
@@ -41,7 +42,10 @@ WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)
 
 
 def words_of(text: str | None) -> set[bytes]:
-    return set((text or "").encode("utf-8", "replace").lower().translate(WORD_BYTES).split())
+    """A text's features; beginnings end in an asterisk, which no word has."""
+    words = set((text or "").encode("utf-8", "replace").lower().translate(WORD_BYTES).split())
+    starts = {w[:5] for w in words if len(w) > 3}
+    return words | {w + b"*" for w in starts if len(w) == 5} | {w[:4] + b"*" for w in starts}
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -74,25 +78,45 @@ class Chain:
         return out
 
 
-def fit_linear(texts: list[set[bytes]], earlier: np.ndarray, y: np.ndarray, max_words: int, l2: float = 2.0, steps: int = 150) -> Linear:
-    """Logistic regression with an L2 penalty, by accelerated gradient steps, over the words that tell the classes apart most."""
-    n, ones = len(y), float(y.sum())
+class Bags:
+    """Texts' features as pairs of (text, feature number), for features in three texts or more."""
+
+    def __init__(self, texts: list[set[bytes]]):
+        seen = Counter(w for t in texts for w in t)
+        self.names = sorted(w for w, c in seen.items() if c >= 3)
+        at = {w: i for i, w in enumerate(self.names)}
+        rows = [[at[w] for w in t if w in at] for t in texts]
+        self.text = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
+        self.feature = np.array([i for r in rows for i in r], np.int64)
+        self.n = len(texts)
+
+    def odds(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
+        weight = np.array([model.words.get(w, 0.0) for w in self.names] or [0.0])
+        out = model.bias + np.bincount(self.text, weight[self.feature], self.n)
+        return out + earlier @ np.array(model.earlier[: earlier.shape[1]]) if model.earlier else out
+
+
+def fit_linear(bags: Bags, rows: np.ndarray, earlier: np.ndarray, y: np.ndarray, max_words: int, l2: float = 2.0, steps: int = 150) -> Linear:
+    """Logistic regression with an L2 penalty, by accelerated gradient steps, over the features that tell the classes of rows (a mask) apart most."""
+    target = y[rows]
+    n, ones = len(target), float(target.sum())
     base = float(np.log((ones + 0.5) / (n - ones + 0.5))) if n else 0.0
     if not 0 < ones < n:
         return Linear(base)
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for t, k in zip(texts, y, strict=True):
-        seen[int(k)].update(t)
-    names = [w for w, c in (seen[0] + seen[1]).items() if c >= 3]
-    in0, in1 = (np.array([s[w] for w in names], float) for s in seen)
-    share = (in0 + in1) / n
-    z = (in1 / ones - in0 / (n - ones)) / np.sqrt(np.maximum(share * (1 - share), 0.5 / n) * (1 / ones + 1 / (n - ones)))
-    chosen = sorted(range(len(names)), key=lambda i: (-abs(z[i]), names[i]))[:max_words]
-    at = {names[i]: j for j, i in enumerate(chosen)}
-    x = np.zeros((n, len(at) + earlier.shape[1] + 1), np.float32)
-    for row, t in zip(x, texts, strict=True):
-        row[[at[w] for w in t & at.keys()]] = 1
-    x[:, len(at) : -1] = earlier
+    mine = rows[bags.text]
+    text, feature = bags.text[mine], bags.feature[mine]
+    in1 = np.bincount(feature, y[text], len(bags.names))
+    both = np.bincount(feature, minlength=len(bags.names))
+    share = both / n
+    z = (in1 / ones - (both - in1) / (n - ones)) / np.sqrt(np.maximum(share * (1 - share), 0.5 / n) * (1 / ones + 1 / (n - ones)))
+    chosen = np.lexsort((np.arange(len(z)), -np.abs(z)))[:max_words]
+    place = np.full(len(bags.names), -1)
+    place[chosen] = np.arange(len(chosen))
+    row_of = np.cumsum(rows) - 1
+    x = np.zeros((n, len(chosen) + earlier.shape[1] + 1), np.float32)
+    hit = place[feature] >= 0
+    x[row_of[text[hit]], place[feature[hit]]] = 1
+    x[:, len(chosen) : -1] = earlier[rows]
     x[:, -1] = 1
     v = np.ones(x.shape[1], np.float32)
     for _ in range(12):
@@ -105,10 +129,10 @@ def fit_linear(texts: list[set[bytes]], earlier: np.ndarray, y: np.ndarray, max_
     w[-1] = base
     ahead = w.copy()
     for i in range(steps):
-        new = ahead - rate * (x.T @ (sigmoid(x @ ahead) - y).astype(np.float32) + penalty * ahead)
+        new = ahead - rate * (x.T @ (sigmoid(x @ ahead) - target).astype(np.float32) + penalty * ahead)
         ahead = new + (i / (i + 3)) * (new - w)
         w = new
-    return Linear(float(w[-1]), {word: float(w[j]) for word, j in at.items()}, [float(k) for k in w[len(at) : -1]])
+    return Linear(float(w[-1]), {bags.names[f]: float(w[j]) for j, f in enumerate(chosen)}, [float(k) for k in w[len(chosen) : -1]])
 
 
 def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
@@ -124,6 +148,7 @@ def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_chain(texts: list[set[bytes]], labels: np.ndarray, folds: np.ndarray, names: list[str], max_words: int) -> Chain:
+    bags = Bags(texts)
     earlier = np.zeros((len(texts), 0), np.float32)
     models: list[Linear] = []
     y, odds = np.zeros(0), np.zeros(0)
@@ -131,15 +156,14 @@ def fit_chain(texts: list[set[bytes]], labels: np.ndarray, folds: np.ndarray, na
         y = labels[:, j].astype(np.float32)
         odds = np.zeros(len(texts), np.float32)
         for k in np.unique(folds):
-            fit, out = np.flatnonzero(folds != k), np.flatnonzero(folds == k)
-            model = fit_linear([texts[i] for i in fit], earlier[fit], y[fit], max_words)
-            odds[out] = [model.odds(texts[i], earlier[i].tolist()) for i in out]
-        models.append(fit_linear(texts, earlier, y, max_words))
+            out = folds == k
+            odds[out] = bags.odds(fit_linear(bags, ~out, earlier, y, max_words), earlier)[out]
+        models.append(fit_linear(bags, np.ones(len(texts), bool), earlier, y, max_words))
         earlier = np.column_stack([earlier, odds]).astype(np.float32)
     return Chain(names, models, best_threshold(odds, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, max_train_rows: int = 8000, max_words: int = 600, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, max_train_rows: int = 8000, max_words: int = 200, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """The chain, from at most max_train_rows labelled rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), *[F.expr(sql).cast("int").alias(f"label_{name}") for name, sql in categories]).dropna()
     known = known.groupBy("label_id").agg(*[F.max(f"label_{name}").alias(f"label_{name}") for name, _ in categories])
