@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, materialize, whole
-from .tokens import WordIds
+from .tokens import word_ids
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int
     """The pieces of each row of docs, with their ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from functools import cache
 
 import numpy as np
 
@@ -31,7 +32,7 @@ def byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Word -> its number; the ids of number i are flat[off[i]:off[i + 1]]."""
 
-    def __init__(self, path: str, max_words: int = 800_000):
+    def __init__(self, path: str, max_words: int = 1_200_000):
         super().__init__()
         from tokenizers import Tokenizer, models
 
@@ -115,6 +116,12 @@ class WordIds(dict):
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+@cache
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, so that its tasks share what words it knows."""
+    return WordIds(path)
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
