@@ -24,8 +24,7 @@ get equal scores; filtering keeps all columns.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,13 +40,21 @@ CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words_of(text: str | None) -> set[bytes]:
-    """A text's features; beginnings end in an asterisk, which no word has."""
-    words = set((text or "").encode("utf-8", "replace").lower().translate(WORD_BYTES).split())
+def plain_words(text: str | None) -> set[bytes]:
+    return set((text or "").encode("utf-8", "replace").lower().translate(WORD_BYTES).split())
+
+
+def features(words: set[bytes]) -> set[bytes]:
+    """Words and beginnings of words; these end in an asterisk, which no word has."""
     starts = {w[:5] for w in words if len(w) > 3}
     return words | {w + b"*" for w in starts if len(w) == 5} | {w[:4] + b"*" for w in starts}
 
 
+def words_of(text: str | None) -> set[bytes]:
+    """A text's features."""
+    return features(plain_words(text))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -79,16 +86,18 @@ class Chain:
 
 
 class Bags:
-    """Texts' features as pairs of (text, feature number), for features in three texts or more."""
-
-    def __init__(self, texts: list[set[bytes]]):
-        seen = Counter(w for t in texts for w in t)
-        self.names = sorted(w for w, c in seen.items() if c >= 3)
-        at = {w: i for i, w in enumerate(self.names)}
-        rows = [[at[w] for w in t if w in at] for t in texts]
-        self.text = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
-        self.feature = np.array([i for r in rows for i in r], np.int64)
-        self.n = len(texts)
+    """Texts' features as pairs of (text, feature number), for features in three texts or more. Takes one text at a time and keeps numbers only."""
+
+    def __init__(self, texts: Iterable[set[bytes]]):
+        number: dict[bytes, int] = {}
+        rows = [np.array([number.setdefault(w, len(number)) for w in t], np.int32) for t in texts]
+        self.n = len(rows)
+        feature = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.text = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
+        often = np.bincount(feature, minlength=len(number)) >= 3
+        self.names = [w for w, o in zip(number, often.tolist(), strict=True) if o]
+        keep = often[feature]
+        self.text, self.feature = self.text[keep], (np.cumsum(often, dtype=np.int32) - 1)[feature[keep]]
 
     def odds(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
         weight = np.array([model.words.get(w, 0.0) for w in self.names] or [0.0])
@@ -96,7 +105,7 @@ class Bags:
         return out + earlier @ np.array(model.earlier[: earlier.shape[1]]) if model.earlier else out
 
 
-def fit_linear(bags: Bags, rows: np.ndarray, earlier: np.ndarray, y: np.ndarray, max_words: int, l2: float = 2.0, steps: int = 150) -> Linear:
+def fit_linear(bags: Bags, rows: np.ndarray, earlier: np.ndarray, y: np.ndarray, max_words: int, l2: float = 0.5, steps: int = 150) -> Linear:
     """Logistic regression with an L2 penalty, by accelerated gradient steps, over the features that tell the classes of rows (a mask) apart most."""
     target = y[rows]
     n, ones = len(target), float(target.sum())
@@ -147,23 +156,23 @@ def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
 
 
-def fit_chain(texts: list[set[bytes]], labels: np.ndarray, folds: np.ndarray, names: list[str], max_words: int) -> Chain:
+def fit_chain(texts: Iterable[set[bytes]], labels: np.ndarray, folds: np.ndarray, names: list[str], max_words: int) -> Chain:
     bags = Bags(texts)
-    earlier = np.zeros((len(texts), 0), np.float32)
+    earlier = np.zeros((bags.n, 0), np.float32)
     models: list[Linear] = []
     y, odds = np.zeros(0), np.zeros(0)
     for j in range(len(names)):
         y = labels[:, j].astype(np.float32)
-        odds = np.zeros(len(texts), np.float32)
+        odds = np.zeros(bags.n, np.float32)
         for k in np.unique(folds):
             out = folds == k
             odds[out] = bags.odds(fit_linear(bags, ~out, earlier, y, max_words), earlier)[out]
-        models.append(fit_linear(bags, np.ones(len(texts), bool), earlier, y, max_words))
+        models.append(fit_linear(bags, np.ones(bags.n, bool), earlier, y, max_words))
         earlier = np.column_stack([earlier, odds]).astype(np.float32)
     return Chain(names, models, best_threshold(odds, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, max_train_rows: int = 8000, max_words: int = 200, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, max_train_rows: int = 6000, max_words: int = 300, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """The chain, from at most max_train_rows labelled rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), *[F.expr(sql).cast("int").alias(f"label_{name}") for name, sql in categories]).dropna()
     known = known.groupBy("label_id").agg(*[F.max(f"label_{name}").alias(f"label_{name}") for name, _ in categories])
@@ -175,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
         for batch in batches:
             names = batch.schema.names
             text = batch.column(names.index("text"))
-            bag = [b" ".join(sorted(words_of(t.as_py()))) for t in text]
+            bag = [b" ".join(sorted(plain_words(t.as_py()))) for t in text]
             keep = [n for n in names if n != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(names.index(n)) for n in keep] + [pa.array(bag, pa.binary())], [*keep, "bag"])
 
@@ -183,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
     fields = "label_id long, " + ", ".join(f"{c} int" for c in columns) + ", place long, bag binary"
     pdf: pd.DataFrame = rows.select("label_id", *columns, "place", "text").mapInArrow(bags, fields).toPandas()
     pdf = pdf.sort_values(["place", "label_id", "bag"], ignore_index=True).drop_duplicates("label_id")
-    texts = [set(bytes(b).split()) for b in pdf["bag"]]
+    texts = (features(set(bytes(b).split())) for b in pdf["bag"])
     return fit_chain(texts, pdf[columns].to_numpy(), (pdf["place"].to_numpy() % folds), [n for n, _ in categories], max_words)
 
 
