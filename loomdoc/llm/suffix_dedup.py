@@ -36,6 +36,7 @@ columns aren't read.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,15 +144,22 @@ class Chunk:
             np.minimum.at(low, self.at, self.doc)
             np.maximum.at(high, self.at, self.doc)
             shared |= low < high
-        found: dict[int, dict[bytes, list[int]]] = {}
+        found: defaultdict[int, dict[bytes, list[int]]] = defaultdict(dict)
         chosen = np.flatnonzero(shared[self.at]) if len(self.at) else self.at
-        span = self.length
+        span, texts = self.length, self.data
         heads = self.identity[chosen].astype(">u8").tobytes()
-        rows = zip(chosen.tolist(), self.range[chosen].tolist(), self.doc[chosen].tolist(), self.p[chosen].tolist(), self.first[chosen].tolist(), self.last[chosen].tolist(), strict=True)
-        for n, (i, r, d, p, a, b) in enumerate(rows):
-            data = self.data[d]
-            key = heads[8 * n : 8 * n + 8] + data[p : b + span] + data[a:p] + bytes((p - a, b - a))
-            found.setdefault(r, {}).setdefault(key, []).append(i)
+        columns = (self.range, self.doc, self.p, self.first, self.last, self.p - self.first, self.last - self.first)
+        rows = zip(chosen.tolist(), *(x[chosen].tolist() for x in columns), strict=True)
+        at = 0
+        for i, r, d, p, a, b, left, more in rows:
+            data = texts[d]
+            key = b"%b%b%b%c%c" % (heads[at : at + 8], data[p : b + span], data[a:p], left, more)
+            at += 8
+            keys = found[r]
+            if key in keys:
+                keys[key].append(i)
+            else:
+                keys[key] = [i]
         out = {}
         for r, keys in found.items():
             names = sorted(keys)
@@ -313,31 +321,51 @@ def merge_range(runs: list[bytes], length: int) -> list[bytes]:
     return [m.tobytes() for m in masks]
 
 
-def removed_spans(chunk: Chunk, masks: pa.Table, bitmaps_of: dict[int, tuple[list[bytes], list[list[int]]]]) -> list[list[tuple[int, int]]]:
+def removed_spans(chunk: Chunk, masks: pa.Table, suffixes: dict[int, tuple[list[bytes], list[list[int]]]]) -> list[list[tuple[int, int]]]:
     """Maximal removed byte ranges of each document of the chunk."""
-    starts: list[list[np.ndarray]] = [[] for _ in chunk.data]
+    length = chunk.length
+    first, windows, doc, rank = chunk.first.tolist(), (chunk.last - chunk.first + 1).tolist(), chunk.doc.tolist(), chunk.order[chunk.doc].tolist()
+    owner: list[int] = []
+    begin: list[int] = []
+    end: list[int] = []
+
+    def cover(i: int, low: int, n: int) -> None:
+        owner.append(doc[i])
+        begin.append(first[i] + low)
+        end.append(first[i] + low + n - 1 + length)
+
+    def cover_bits(i: int, mask: int) -> None:
+        while mask:
+            low = (mask & -mask).bit_length() - 1
+            rest = mask >> low
+            n = (~rest & (rest + 1)).bit_length() - 1
+            cover(i, low, n)
+            mask = rest >> n << n + low
+
     for r, raw in zip(masks.column("range").to_pylist(), masks.column("masks").to_pylist(), strict=True):
-        bits = np.frombuffer(raw, "<u8").tolist()
-        _, entries = bitmaps_of[r]
-        for mask, at in zip(bits, entries, strict=True):
-            least = chunk.order[chunk.doc[at[0]]] if len(at) == 1 else min(chunk.order[chunk.doc[i]] for i in at)
+        for mask, at in zip(np.frombuffer(raw, "<u8").tolist(), suffixes[r][1], strict=True):
+            if len(at) == 1:
+                if mask:
+                    cover_bits(at[0], mask)
+                continue
+            least = min(rank[i] for i in at)
             for i in at:
-                d = int(chunk.doc[i])
-                a, n = int(chunk.first[i]), int(chunk.last[i] - chunk.first[i]) + 1
-                if chunk.order[d] > least:
-                    starts[d].append(np.arange(a, a + n))
+                if rank[i] > least:
+                    cover(i, 0, windows[i])
                 elif mask:
-                    starts[d].append(a + np.flatnonzero([mask >> t & 1 for t in range(n)]))
-    out = []
-    for found in starts:
-        at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        if not len(at):
-            out.append([])
-            continue
-        gap = np.flatnonzero(np.diff(at) > chunk.length)
-        begins = at[np.concatenate([[0], gap + 1])]
-        ends = at[np.append(gap, len(at) - 1)] + chunk.length
-        out.append(list(zip(begins.tolist(), ends.tolist(), strict=True)))
+                    cover_bits(i, mask)
+    out: list[list[tuple[int, int]]] = [[] for _ in chunk.data]
+    if not owner:
+        return out
+    wide = max(map(len, chunk.data)) + 1
+    base = np.array(owner, np.int64) * wide
+    a, b = base + begin, base + end
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    for x, y in zip(a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist(), strict=True):
+        d = x // wide
+        out[d].append((x - d * wide, y - d * wide))
     return out
 
 
@@ -374,8 +402,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
         out: tuple[list, ...] = ([], [], [])
         if len(table):
             n, chunk = number(table), Chunk(table, length, ranges)
+            rank = chunk.order[chunk.doc].tolist()
             for r, (keys, entries) in chunk.suffixes(bitmaps).items():
-                least = np.array([min(chunk.order[chunk.doc[i]] for i in at) for at in entries], np.int64)
+                least = np.array([rank[at[0]] if len(at) == 1 else min(rank[i] for i in at) for at in entries], np.int64)
                 for to, x in zip(out, (n, r, front_code(keys, least)), strict=True):
                     to.append(x)
         return pa.table({"chunk": pa.array(out[0], pa.int64()), "range": pa.array(out[1], pa.int64()), "run": pa.array(out[2], pa.binary())})
