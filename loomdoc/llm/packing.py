@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, materialize, whole
-from .tokens import word_ids
+from .tokens import CACHE_WORDS, word_ids
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
@@ -42,11 +42,11 @@ def cut(n: int, room: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(at, room) for at in range(head, n, room)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """The pieces of each row of docs, with their ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer)
+        words = word_ids(tokenizer, cache_words)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -143,7 +143,7 @@ def pack(pieces: DataFrame, room: int = 1024, max_docs: int | None = None, max_c
     return out.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, **options) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
-    out = pack(token_pieces(docs, tokenizer, room, end_id, id_col, text_col, with_ids), room, **options)
+    out = pack(token_pieces(docs, tokenizer, room, end_id, id_col, text_col, with_ids, cache_words), room, **options)
     return out.withColumn("length", F.col("length").cast("long"))

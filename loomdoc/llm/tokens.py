@@ -18,6 +18,8 @@ import numpy as np
 
 #: Letters below this are in no need of Unicode normalisation.
 PLAIN_END = "ɐ"
+#: Words a worker remembers at most, about 200 bytes each.
+CACHE_WORDS = 1_200_000
 TAIL = frozenset(".,;:!?")
 ODD_CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -32,7 +34,7 @@ def byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Word -> its number; the ids of number i are flat[off[i]:off[i + 1]]."""
 
-    def __init__(self, path: str, max_words: int = 1_200_000):
+    def __init__(self, path: str, max_words: int = CACHE_WORDS):
         super().__init__()
         from tokenizers import Tokenizer, models
 
@@ -117,9 +119,9 @@ class WordIds(dict):
 
 
 @cache
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, max_words: int = CACHE_WORDS) -> WordIds:
     """One per Python worker, so that its tasks share what words it knows."""
-    return WordIds(path)
+    return WordIds(path, max_words)
 
 
 def public_path(name: str) -> str:
