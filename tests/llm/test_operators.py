@@ -208,6 +208,47 @@ def test_near_duplicates(spark):
     assert left.columns == df.columns and {3 * g for g in range(25)} <= {r.doc_id for r in left.collect()}
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def five_words(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def edited(rng, words, blocks, low=0):
+    """words with so many of their blocks of ten changed to new words, spread over the text from the low-th on."""
+    out = list(words)
+    for b in rng.sample(range(low, len(words) // 10), blocks):
+        out[10 * b + rng.randrange(10)] = f"new{rng.randrange(10**9)}"
+    return out
+
+
+def test_near_duplicates_with_new_words_in_a_small_vocabulary(spark):
+    rng = __import__("random").Random(3)
+    rows = []
+    for g in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(2000)]
+        rows += [(2 * g, " ".join(words), "en", "s", 0), (2 * g + 1, " ".join(edited(rng, words, 42)), "en", "s", 0)]
+    sets = [five_words(t) for _, t, *_ in rows]
+    assert all(0.8 <= jaccard(sets[2 * g], sets[2 * g + 1]) < 0.84 for g in range(60))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(cases.frame(spark, rows=rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_band_keys_meet_as_often_as_the_similarity_says():
+    rng = np.random.default_rng(8)
+    for s in (0.8, 0.5):
+        n = round(200 * (1 - s) / (1 + s))  # of 200 hashes each, so many are their own
+        met = []
+        for _ in range(300):
+            h = rng.integers(0, 1 << 32, 200 + n).astype(np.uint32)
+            met.append((simhash.band_keys(h[:200], 40, 5) == simhash.band_keys(h[n:], 40, 5)).mean())
+        j = (200 - n) / (200 + n)
+        assert np.mean(met) == pytest.approx(j**5, rel=0.1)
+
+
 def test_near_duplicates_of_odd_rows(spark, docs):
     left = simhash.drop_near_duplicates(docs)
     assert left.columns == docs.columns
