@@ -22,6 +22,13 @@ that share a key are candidates; candidates are then held to the exact
 similarity. A pair at similarity s is missed by all keys with a chance of
 (1 - s^5)^40: 1.2e-7 at 0.8, less above, whatever its texts are.
 
+Of those who share a key, one after another is compared with all others and then
+leaves; those compared with it stay, linked or not, while any two of them are in
+different components. The first is the smallest id, later ones have the most
+links, so the middle of a star of copies is soon found. What is left after
+``PIVOTS`` rounds is compared pair by pair, in blocks. So any two documents that
+share a key are compared or connected by others.
+
 Defined cases: a null text is the empty one; texts without words have
 fingerprint 0 and link like any others; fewer words than a shingle has are one
 shingle; rows that share an id are one node of near_duplicates, with the shingles
@@ -48,6 +55,8 @@ RADIUS = 3
 #: The Golay code's generator polynomial, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 SEED = 42
+#: Rounds of one against all among those who share a key, and members a block has after them.
+PIVOTS, PER_BLOCK = 3, 64
 
 
 def remainder(value: int) -> int:
@@ -231,14 +240,56 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """(doc_id, component_id) of every id that has a near duplicate."""
     sets = materialize(shingle_sets(docs, shingle, id_col, text_col), "shingles")
     keys = materialize(in_bands(sets, bands, per_band), "band-keys")
-    firsts = keys.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    stars = keys.withColumnRenamed("node", "b").join(firsts, "key").where("b <> a")
-    found = materialize(stars.select("a", "b").distinct(), "candidates")
-    near = materialize(verified(sets, found, similarity), "near")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    live = materialize(keys.join(often, "key", "left_semi"), "shared-keys")
+    shared = materialize(sets.join(live.select("node").distinct(), "node", "left_semi"), "shared-shingles")
+    near = materialize(live.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "near")
     roots = components(near)
+    for i in range(PIVOTS + 1):
+        live = materialize(undecided(live, roots), "undecided")
+        if live.isEmpty():
+            break
+        if i < PIVOTS:
+            pivots = materialize(central(live, near), "pivots")
+            joined = live.join(pivots, "key")
+            found = joined.where("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+            live = joined.where("node <> pivot").select("key", "node")
+        else:
+            found = across(live)
+        found = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        near = near.unionByName(materialize(verified(shared, found, similarity), "near"))
+        roots = materialize(components(near), "roots")
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
+def undecided(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of members (key, node) of keys that more than one component has."""
+    rooted = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return rooted.join(mixed_keys, "key", "left_semi")
+
+
+def central(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(key, pivot, pivot_root): of each key the member with the most links, of equals the smallest."""
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node")))
+    ranked = members.join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("links")), "node", "left")
+    best = F.min(F.struct(-F.coalesce("links", F.lit(0)), "node", "root")).alias("best")
+    return ranked.groupBy("key").agg(best).select("key", F.col("best.node").alias("pivot"), F.col("best.root").alias("pivot_root"))
+
+
+def across(members: DataFrame) -> DataFrame:
+    """(a, b) of every two members of a key that are in different components. A key's members are dealt
+    to blocks and every two blocks meet by themselves, so no key is one task."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PER_BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    dealt = materialize(dealt.select(*cell, "block", "node", "root"), "blocks")
+    left, right = (dealt.select("key", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "node", "root")]) for x in "ab")
+    pairs = left.join(right, ["key", "i", "j"]).where("root_a <> root_b AND node_a < node_b AND (i = j OR block_a <> block_b)")
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b), those whose shingle sets are so similar."""
     ids = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ids")

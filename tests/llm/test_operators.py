@@ -237,6 +237,27 @@ def test_near_duplicates_with_new_words_in_a_small_vocabulary(spark):
     assert got == {i: i - i % 2 for i in range(120)}
 
 
+def test_near_duplicates_around_a_middle_id(spark, monkeypatch):
+    rng = __import__("random").Random(4)
+    words = cases.prose(rng, 600).split(" ")
+    rows = [(i, " ".join(words if i == 150 else edited(rng, words, 11)), "en", "s", 0) for i in range(300)]
+    sets = [five_words(t) for _, t, *_ in rows]
+    assert all(jaccard(s, sets[150]) >= 0.8 for s in sets)
+    assert sum(jaccard(sets[i], sets[j]) >= 0.8 for i in range(150) for j in range(i)) < 150
+    df = cases.frame(spark, rows=rows).repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == dict.fromkeys(range(300), 0)
+    monkeypatch.setattr(simhash, "PIVOTS", 0)  # pair by pair from the start
+    monkeypatch.setattr(simhash, "PER_BLOCK", 20)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == dict.fromkeys(range(300), 0)
+
+
+def test_every_two_of_a_key_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PER_BLOCK", 3)
+    members = spark.createDataFrame([(k, n, n // 2) for k, size in ((1, 2), (2, 17)) for n in range(size)], "key long, node long, root long")
+    got = sorted((r.a, r.b) for r in simhash.across(members).collect())
+    assert got == sorted((a, b) for b in range(17) for a in range(b) if a // 2 != b // 2)
+
+
 def test_band_keys_meet_as_often_as_the_similarity_says():
     rng = np.random.default_rng(8)
     for s in (0.8, 0.5):
