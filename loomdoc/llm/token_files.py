@@ -80,8 +80,8 @@ def merge_round(symbols: np.ndarray, last: np.ndarray, next_symbol: int, most: i
     return symbols[stay], last[stay], pairs
 
 
-def compress(docs: list[np.ndarray], ids: list[int | None], base: int, rounds: int = 6, min_count: int = 16, per_round: int = 2700) -> bytes:
-    """A shard's image."""
+def compress(docs: list[np.ndarray], ids: list[int | None], base: int, rounds: int | None = None, min_count: int = 16, per_round: int = 2700) -> bytes:
+    """A shard's image; rounds, if given, are the most there are."""
     sizes = np.array([len(d) for d in docs], np.int64)
     symbols = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
     base = max(base, int(symbols.max(initial=0)) + 1)
@@ -90,9 +90,7 @@ def compress(docs: list[np.ndarray], ids: list[int | None], base: int, rounds: i
     room = (1 << 16) - base if base < 1 << 16 else 1 << 20
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        if len(symbols) < 2 or n_rules >= room:
-            break
+    while len(symbols) > 1 and n_rules < room and (rounds is None or len(rules) < rounds):
         symbols, last, pairs = merge_round(symbols, last, base + n_rules, min(per_round, room - n_rules), min_count)
         if not len(pairs):
             break

@@ -367,6 +367,14 @@ def test_grammar_gives_random_access():
         token_files.Shard(b"nope" + bytes(40))
 
 
+def test_compression_goes_on_until_no_pair_is_frequent():
+    text = np.random.default_rng(6).permutation(4096).astype(np.uint32)
+    docs = [text] * 40
+    shard = token_files.Shard(token_files.compress(docs, list(range(40)), 49408))
+    assert len(shard.symbols) == 40 and shard.length.max() == 4096
+    assert (shard.document(7) == text).all() and (shard.all() == np.concatenate(docs)).all()
+
+
 # 6
 
 
