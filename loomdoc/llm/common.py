@@ -64,3 +64,28 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key with fewer rows than this is never split.
+LEAST_HOT = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """(key, salts) of the keys of counts (key, n) that hold more than a quarter of a partition's even share, and into how many
+    parts of that size each is to go. There are four a shuffle partition at most, whatever the input, so this may be broadcast."""
+    spark = counts.sparkSession
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    per = max(int(total) // (4 * partitions(spark)), LEAST_HOT)
+    return materialize(counts.where(F.col(n) > per).select(key, F.ceil(F.col(n) / per).cast("int").alias("salts")).coalesce(1), "hot-keys")
+
+
+def salted(rows: DataFrame, key: str, hot: DataFrame, *identity: str) -> DataFrame:
+    """rows with salt: 0, or for a hot key one of its salts by a hash of the row's identity."""
+    part = F.pmod(F.xxhash64(*identity), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", part).drop("salts")
+
+
+def replicated(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows, one of each key, with salt: once for every salt of its key."""
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", every).drop("salts")

@@ -2,15 +2,18 @@
 
 A document is its lines' hashes. Of every window of ``min_lines`` lines the
 leftmost least hash is a fingerprint, so two runs of that many equal lines, or
-more, have equal fingerprints at equal places. Fingerprints that occur once are
-dropped. What is left is joined by position: around each fingerprint the match is
-extended to the left and to the right as far as its windows reach, line by line,
-and every window so matched is settled for its first place. A later window is a
-repeat and all its lines go; runs longer than a window are many overlapping
-windows, so whole runs go.
+more, have equal fingerprints at equal places: every match of that length is
+guaranteed a seed. A seed is a fingerprint's position with the lines before and
+after it, as far as its windows reach. Fingerprints that occur once are dropped.
 
-First places are found salt by salt, then over salts, and go back the same way,
-so that a run that a third of all documents share is never one task's rows.
+Seeds are then joined by position. A seed is extended to the left and to the
+right, line by line; every extension of ``min_lines`` lines leads to the first
+place that has those lines around the same fingerprint. Matches that go on, line
+for line in both documents, across one seed's reach into the next one's are one
+run, so runs are as long as the texts agree. A run's later place goes whole.
+
+A fingerprint or window of many rows is split: see ``common.hot_keys``. A text
+crosses the network once, to meet its document's runs.
 
 "Later": in a document with a larger id, or at least min_lines lines further down
 in the same document. Windows of nothing but blank lines don't count. Lines end
@@ -33,9 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, col, materialize, whole
+from .common import LAST_ID, col, hot_keys, materialize, replicated, salted, whole
 
-SALTS = 16
 RESULT = "doc_id long, n_lines long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -61,68 +63,89 @@ def winnow(hashes: np.ndarray, blank: np.ndarray, size: int) -> tuple[np.ndarray
     return least[first][some], first[some], last[some]
 
 
-def fingerprints(rows: DataFrame, size: int) -> DataFrame:
-    """(fp, id, h, first, lines) of rows (id, h, text): a fingerprint and the hashes of all lines of its windows."""
+def seeds(rows: DataFrame, size: int) -> DataFrame:
+    """(fp, id, h, at, before, after) of rows (id, h, text): a fingerprint, its line, and the hashes of the lines around it that its windows hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for id_, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 hashes, blank = line_hashes(text)
                 for p, a, b in zip(*(x.tolist() for x in winnow(hashes, blank, size)), strict=True):
-                    for to, x in zip(out, (int(hashes[p]), id_, h, a, hashes[a : b + size]), strict=True):
+                    for to, x in zip(out, (int(hashes[p]), id_, h, p, hashes[a:p], hashes[p + 1 : b + size]), strict=True):
                         to.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["fp", "id", "h", "first", "lines"])
-
-    return rows.mapInArrow(run, "fp long, id long, h long, first int, lines array<long>")
-
-
-def later_windows(rows: DataFrame, size: int) -> DataFrame:
-    """(id, h, at) of every window that has been before."""
-    found = materialize(fingerprints(rows, size), "line-fingerprints")
-    often = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    places = found.join(often, "fp", "left_semi")
-    # both ways from the fingerprint: one row per window around it
-    steps = F.sequence(F.lit(0), F.size("lines") - size)
-    each = places.select("id", "h", "first", "lines", F.explode(steps).alias("step"))
-    each = each.select("id", "h", (F.col("first") + F.col("step")).alias("at"), F.slice("lines", F.col("step") + 1, size).alias("window"))
-    each = materialize(each.withColumn("salt", F.pmod(F.xxhash64("id", "h", "at"), F.lit(SALTS)).cast("int")), "line-windows")
-    by_salt = each.groupBy("window", "salt").agg(F.min(F.struct("id", "h", "at")).alias("place"), F.count(F.lit(1)).alias("n"))
-    firsts = by_salt.groupBy("window").agg(F.min("place").alias("place"), F.sum("n").alias("n")).where("n > 1").select("window", "place")
-    back = by_salt.select("window", "salt").join(firsts, "window")
-    hits = each.join(back, ["window", "salt"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["fp", "id", "h", "at", "before", "after"])
+
+    return rows.mapInArrow(run, "fp long, id long, h long, at int, before array<long>, after array<long>")
+
+
+def matches(rows: DataFrame, size: int) -> DataFrame:
+    """(id, h, at, place) of every window that has been before; place (id, h, at) is where first."""
+    found = materialize(seeds(rows, size), "line-seeds")
+    often = materialize(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "line-fingerprints")
+    hot = hot_keys(often, "fp")
+    shared = salted(found, "fp", hot, "id", "h", "at").join(replicated(often.select("fp"), "fp", hot), ["fp", "salt"], "left_semi")
+    # the extensions of a seed to `size` lines: by how many lines to the left
+    left = F.explode(F.sequence(F.greatest(F.lit(0), F.lit(size - 1) - F.size("after")), F.size("before"))).alias("left")
+    each = shared.select("fp", "id", "h", "at", "before", "after", left)
+    lines = F.concat(F.slice("before", F.size("before") - F.col("left") + 1, F.col("left")), F.array("fp"), F.slice("after", F.lit(1), F.lit(size - 1) - F.col("left")))
+    each = materialize(each.select(lines.alias("lines"), "id", "h", (F.col("at") - F.col("left")).alias("at")), "line-windows")
+    places = each.groupBy("lines").agg(F.min(F.struct("id", "h", "at")).alias("place"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = materialize(places, "line-places")
+    hot = hot_keys(places, "lines")
+    met = salted(each, "lines", hot, "id", "h", "at").join(replicated(places.select("lines", "place"), "lines", hot), ["lines", "salt"])
     same = (F.col("place.id") == F.col("id")) & (F.col("place.h") == F.col("h"))
-    return hits.where(F.when(same, F.col("place.at") <= F.col("at") - size).otherwise(F.struct("place.id", "place.h") < F.struct("id", "h"))).select("id", "h", "at")
+    later = F.when(same, F.col("place.at") <= F.col("at") - size).otherwise(F.struct("place.id", "place.h") < F.struct("id", "h"))
+    return met.where(later).select("id", "h", "at", "place")
+
+
+def runs_of(windows: list[dict], size: int) -> list[dict]:
+    """Matched windows (at, place) of one document as runs: windows that follow each other at both places are one."""
+    runs: list[dict] = []
+    for w in sorted(windows, key=lambda w: w["at"]):
+        id_, h, at = w["place"]["id"], w["place"]["h"], w["place"]["at"]
+        if runs and (r := runs[-1])["key"] == (id_, h, at - w["at"]) and r["begin"] + r["lines"] - size + 1 == w["at"]:
+            r["lines"] += 1
+        else:
+            runs.append({"begin": w["at"], "lines": size, "first_id": None if id_ == LAST_ID else id_, "first_begin": at, "key": (id_, h, at - w["at"])})
+    return [{k: v for k, v in r.items() if k != "key"} for r in runs]
+
+
+RUN = "begin:int,lines:int,first_id:long,first_begin:int"
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """A row per document: doc_id, n_lines, n_removed, n_spans, kept_sha256 (and kept, the remaining lines)."""
+def line_dedup(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, with_runs: bool = False) -> DataFrame:
+    """A row per document: doc_id, n_lines, n_removed, n_spans, kept_sha256 (and kept, the remaining lines; and runs, what went and where it was first)."""
     if min_lines < 1:
         raise ValueError("min_lines is 1 at least")
     text = whole(col(docs, text_col))
     rows = docs.select(F.coalesce(col(docs, id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    gone = later_windows(rows, min_lines).groupBy("id", "h").agg(F.collect_set("at").alias("at"))  # at most a document's lines
+    gone = matches(rows, min_lines).groupBy("id", "h").agg(F.collect_set(F.struct("at", "place")).alias("windows"))  # at most a document's lines
     gone = materialize(gone, "line-repeats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"doc_id": pa.int64(), "n_lines": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+        kinds |= {"kept": pa.binary()} if with_text else {}
+        kinds |= {"runs": pa.list_(pa.struct([("begin", pa.int32()), ("lines", pa.int32()), ("first_id", pa.int64()), ("first_begin", pa.int32())]))} if with_runs else {}
         for batch in batches:
-            out: tuple[list, ...] = tuple([] for _ in range(6))
-            for id_, body, at in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                lines = body.encode("utf-8", "surrogatepass").split(b"\n")
+            out: dict[str, list] = {name: [] for name in kinds}
+            for id_, body, windows in zip(*(batch.column(i) for i in range(3)), strict=True):
+                lines = body.as_buffer().to_pybytes().split(b"\n")
+                runs = runs_of(windows.as_py() or [], min_lines)
                 removed = np.zeros(len(lines) + 2, np.int8)
-                for a in at or []:
-                    removed[a + 1 : a + 1 + min_lines] = 1
-                kept = b"\n".join(x for x, r in zip(lines, removed[1:], strict=False) if not r)
-                values = (None if id_ == LAST_ID else id_, len(lines), int(removed.sum()), int((np.diff(removed) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept)
-                for to, x in zip(out, values, strict=True):
-                    to.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            names = [f.split()[0] for f in RESULT.split(", ")] + ["kept"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in list(zip(out, kinds, strict=True))[: 5 + with_text]], names[: 5 + with_text])
-
-    joined = rows.join(gone, ["id", "h"], "left").select("id", "text", "at")
-    return joined.mapInArrow(run, RESULT + ", kept binary" * with_text)
+                for r in runs:
+                    removed[r["begin"] + 1 : r["begin"] + 1 + r["lines"]] = 1
+                kept = b"\n".join(x for x, r in zip(lines, removed[1:], strict=False) if not r) if runs else body.as_buffer().to_pybytes()
+                row = {"doc_id": None if id_.as_py() == LAST_ID else id_.as_py(), "n_lines": len(lines), "n_removed": int(removed.sum()), "n_spans": int((np.diff(removed) == 1).sum())}
+                row |= {"kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept, "runs": runs}
+                for name, to in out.items():
+                    to.append(row[name])
+            yield pa.RecordBatch.from_arrays([pa.array(out[name], kind) for name, kind in kinds.items()], list(kinds))
+
+    # always by a shuffle of both, whatever the sizes: each text moves once
+    joined = rows.hint("merge").join(gone, ["id", "h"], "left").select("id", "text", "windows")
+    return joined.mapInArrow(run, RESULT + ", kept binary" * with_text + f", runs array<struct<{RUN}>>" * with_runs)
 
 
 ORACLE_SQL = r"""

@@ -71,3 +71,22 @@ def test_equal_runs_share_a_fingerprint():
             p, a, b = line_dedup.winnow(h, np.zeros(len(h), bool), size)
             k = int(np.flatnonzero((a <= at) & (at <= b))[0])
             assert p[k] - at == int(np.argmin(run))
+
+
+def test_runs_go_on_beyond_a_seed(spark):
+    lines = [f"line {i}" for i in range(40)]
+    rows = [(1, "\n".join(["head", *lines]), None, None, None), (2, "\n".join(["other", *lines[5:30], "x", *lines[33:35]]), None, None, None), (None, lines[3] + "\n" + lines[4], None, None, None)]
+    got = {r.doc_id: [tuple(x) for x in r.runs] for r in line_dedup.line_dedup(cases.frame(spark, rows=rows), with_runs=True).collect()}
+    assert got == {1: [], 2: [(1, 25, 1, 6), (27, 2, 1, 34)], None: [(0, 2, 1, 4)]}
+
+
+def test_a_line_of_a_third_of_all_documents_is_many_parts(spark, monkeypatch):
+    from loomdoc.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    rows = [(i, f"own {i}\nlicense\nterms\nown {i}" if i % 3 == 0 else f"a {i}\nb {i % 50}\nlicense\nc {i}", None, None, None) for i in range(300)]
+    got = line_dedup.line_dedup(cases.frame(spark, rows=rows)).drop("kept")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 2)
+    counts = spark.createDataFrame([(k, n) for k, n in ((1, 4000), (2, 9), (3, 9))], "fp long, n long")
+    hot = common.hot_keys(counts, "fp")
+    assert [r.fp for r in hot.collect()] == [1] and hot.first().salts >= 8
