@@ -4,7 +4,12 @@
 a text where the tokenizer's own pre-tokenizer surely cuts, at a single space
 between two words, and remembers each piece's ids. Pieces of plain letters go
 to the library's BPE model itself, other pieces to its whole tokenizer, and a
-text whose white space isn't that plain goes to the whole tokenizer at once.
+text whose white space isn't that plain goes to the whole tokenizer at once, as
+does one that holds the string of an added token.
+
+By default a special token's string in a text is that token, as the library has
+it; with ``specials_as_text`` it is ordinary text, so that no document can forge
+a document's end.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ def byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Word -> its number; the ids of number i are flat[off[i]:off[i + 1]]."""
 
-    def __init__(self, path: str, max_words: int = CACHE_WORDS):
+    def __init__(self, path: str, max_words: int = CACHE_WORDS, specials_as_text: bool = False):
         super().__init__()
         from tokenizers import Tokenizer, models
 
@@ -45,7 +50,10 @@ class WordIds(dict):
         extra = {"end_of_word_suffix": model["end_of_word_suffix"]} if model.get("end_of_word_suffix") else {}
         self.bpe = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **extra)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = specials_as_text
+        added = [t for t in spec.get("added_tokens") or [] if not (specials_as_text and t["special"])]
+        self.added = [t["content"] for t in added if not t["normalized"]]
+        self.added_folded = [t["content"].lower() for t in added if t["normalized"]]  # these are looked for after normalisation
         self.spaced = not spec.get("normalizer")  # a piece keeps the space before it; else white space is dropped and case is folded
         self.letters = byte_letters()
         self.max_words = max_words
@@ -97,6 +105,8 @@ class WordIds(dict):
         """The text's ids, uint32."""
         if not text:
             return np.zeros(0, np.uint32)
+        if any(a in text for a in self.added) or self.added_folded and any(a in text.lower() for a in self.added_folded):
+            return self._all(text)
         if len(self) > self.max_words:
             self.clear()
             self.flat, self.off = array("I"), array("q", [0])
@@ -119,9 +129,9 @@ class WordIds(dict):
 
 
 @cache
-def word_ids(path: str, max_words: int = CACHE_WORDS) -> WordIds:
+def word_ids(path: str, max_words: int = CACHE_WORDS, specials_as_text: bool = False) -> WordIds:
     """One per Python worker, so that its tasks share what words it knows."""
-    return WordIds(path, max_words)
+    return WordIds(path, max_words, specials_as_text)
 
 
 def public_path(name: str) -> str:

@@ -288,16 +288,20 @@ def whole():
     out = {}
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         out[name] = Tokenizer.from_file(public_path(name))
-        out[name].encode_special_tokens = True
     return out
 
 
 def test_word_ids_are_the_tokenizers(whole):
-    odd = ["", " a", "a  b", "a \n b", "it's <|endoftext|> x", "İstanbul ΣΑΣ. ok", "a\x1cb\x85d e　f", "\n\nhi  ", "é a ́b", "don't, x.y z!!", "ſt ßa", "tab\tx"]
+    odd = ["", " a", "a  b", "a \n b", "it's <|endoftext|> x", "a<|endoftext|>", "<|startoftext|> b <|endoftext|><|endoftext|> c", "x <|ENDOFTEXT|> y", "İstanbul ΣΑΣ. ok", "a\x1cb\x85d e　f", "\n\nhi  ", "é a ́b", "don't, x.y z!!", "ſt ßa", "tab\tx"]
     for name, t in whole.items():
         ids = WordIds(public_path(name), max_words=20)
         for text in odd + [r[1] or "" for r in ROWS]:
             assert ids.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+        ids = WordIds(public_path(name), specials_as_text=True)
+        t.encode_special_tokens = True
+        plain = [t.encode(text, add_special_tokens=False).ids for text in odd]
+        t.encode_special_tokens = False
+        assert [ids.encode(text).tolist() for text in odd] == plain
 
 
 def crc(ids):
