@@ -4,7 +4,9 @@ A sequence has room for tokens, documents and attention cost (the sum of its
 pieces' squared lengths). Pieces go longest first into the open sequence that
 fits best under every limit: the one with the least weighted norm of what then
 remains ("norm"), or with the largest weighted product of what it has left and
-what the piece needs ("dot"). If none fits, a new sequence opens.
+what the piece needs ("dot"). If none fits, a new sequence opens. A limit that
+isn't given is what a sequence full of tokens needs at most, ``room`` documents
+and a cost of room squared: it refuses nothing, yet what is left of it weighs.
 
 A document with more tokens than a sequence is cut into full pieces, of which
 the first may be shorter; nothing else is cut. Full pieces are sequences of
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import col, materialize, whole
 from .tokens import CACHE_WORDS, word_ids
 
+#: Of the residual's tokens, documents and attention cost, each as a share of its limit.
+WEIGHTS = (1.0, 0.3, 0.3)
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -53,7 +57,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int
                 ids = np.append(words.encode(text), np.uint32(end_id)).astype("<u4")
                 for i, (start, n) in enumerate(cut(len(ids), room)):
                     raw = ids[start : start + n].tobytes()
-                    for to, value in zip(out, (doc_id, i, start, n, zlib.crc32(raw), raw), strict=True):
+                    for to, value in zip(out, (doc_id, i, start, n, zlib.crc32(raw), raw if with_ids else None), strict=True):
                         to.append(value)
             arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
@@ -67,8 +71,7 @@ class Bins:
     """Open sequences of one bucket, as arrays of what they have left."""
 
     def __init__(self, room: np.ndarray, weights: np.ndarray, rule: str):
-        self.room, self.weights, self.rule = room, weights / np.where(np.isfinite(room), room, np.inf) ** 2, rule
-        self.weights = np.nan_to_num(self.weights)
+        self.room, self.weights, self.rule = room, weights / room**2, rule
         self.left = np.empty((0, len(room)))
         self.names = np.empty(0, np.int64)
         self.opened = 0
@@ -79,8 +82,7 @@ class Bins:
             fits = np.flatnonzero((self.left >= need).all(axis=1))
             if len(fits):
                 left = self.left[fits]
-                finite = np.where(np.isfinite(left), left, 0.0)
-                score = ((finite - need * (self.weights > 0)) ** 2 @ self.weights) if self.rule == "norm" else -(finite * need @ self.weights)
+                score = ((left - need) ** 2 @ self.weights) if self.rule == "norm" else -(left * need @ self.weights)
                 best = int(fits[np.argmin(score)])
         if best < 0:
             self.left = np.vstack([self.left, self.room])
@@ -97,32 +99,31 @@ class Bins:
             self.left, self.names = self.left[stay], self.names[stay]
 
 
-def best_fit(lengths: np.ndarray, room: int, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.05, 0.05), rule: str = "norm") -> np.ndarray:
+def best_fit(lengths: np.ndarray, room: int, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> np.ndarray:
     """The sequence (from 0) of each piece."""
-    inf = float("inf")
-    bins = Bins(np.array([room, max_docs or inf, max_cost or inf], float), np.array(weights), rule)
+    max_cost = max_cost or room * room
+    bins = Bins(np.array([room, max_docs or room, max_cost], float), np.array(weights), rule)
     out = np.empty(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
     least = int(lengths.min()) if len(lengths) else 0
     for n, i in enumerate(order):
         k = int(lengths[i])
-        cost = k * k if not max_cost else min(k * k, max_cost)
-        out[i] = bins.place(np.array([k, 1, cost], float))
+        out[i] = bins.place(np.array([k, 1, min(k * k, max_cost)], float))
         if not n % 64:
             bins.close(least)
     return out
 
 
-def pack_bucket(pdf: pd.DataFrame, room: int, max_docs: int | None, max_cost: int | None, rule: str) -> pd.DataFrame:
+def pack_bucket(pdf: pd.DataFrame, room: int, max_docs: int | None, max_cost: int | None, rule: str, weights: tuple[float, float, float]) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "rid"], ascending=[False, True], ignore_index=True)
-    pdf["bin"] = best_fit(pdf["length"].to_numpy(), room, max_docs, max_cost, rule=rule)
+    pdf["bin"] = best_fit(pdf["length"].to_numpy(), room, max_docs, max_cost, weights, rule)
     by = pdf.groupby("bin", sort=False)["length"]
     pdf["offset"] = (by.cumsum() - pdf["length"]).astype("int64")
     pdf["filled"] = by.transform("sum").astype("int64")
     return pdf
 
 
-def pack(pieces: DataFrame, room: int = 1024, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", bucket_pieces: int = 8192, loose: float = 0.98) -> DataFrame:
+def pack(pieces: DataFrame, room: int = 1024, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, bucket_pieces: int = 8192, loose: float = 0.98) -> DataFrame:
     """pieces with sequence_id and offset. pieces has a column length; its others pass through, and clash with none but these two."""
     columns = pieces.columns
     kept = materialize(pieces.withColumn("rid", F.monotonically_increasing_id()), "pieces")
@@ -133,7 +134,7 @@ def pack(pieces: DataFrame, room: int = 1024, max_docs: int | None = None, max_c
     def packed(rows: DataFrame, per: int) -> DataFrame:
         n = max(1, -(-rows.count() // per))
         dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int"))
-        return dealt.groupBy("bucket").applyInPandas(lambda pdf: pack_bucket(pdf, room, max_docs, max_cost, rule), f"{schema}, bucket int, bin long, offset long, filled long")
+        return dealt.groupBy("bucket").applyInPandas(lambda pdf: pack_bucket(pdf, room, max_docs, max_cost, rule, weights), f"{schema}, bucket int, bin long, offset long, filled long")
 
     first = materialize(packed(small, bucket_pieces), "packed")
     tight = first.where(F.col("filled") >= int(loose * room))
