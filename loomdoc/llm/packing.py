@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, whole
+from .common import col, materialize, tidy, whole
 from .tokens import CACHE_WORDS, word_ids
 
 #: Of the residual's tokens, documents and attention cost, each as a share of its limit.
@@ -46,8 +46,8 @@ def cut(n: int, room: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(at, room) for at in range(head, n, room)]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """The pieces of each row of docs, with their ids if asked for."""
+def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_words: int = CACHE_WORDS, keep_words: bool = True) -> DataFrame:
+    """The pieces of each row of docs, with their ids if asked for. keep_words: a worker remembers words from task to task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer, cache_words)
@@ -62,6 +62,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int
             arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names[: 5 + with_ids])
+        if not keep_words:
+            words.forget()
+            tidy()
 
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), whole(col(docs, text_col)).alias("text"))
     return rows.mapInArrow(run, PIECES + ", ids binary" * with_ids)
@@ -144,7 +147,7 @@ def pack(pieces: DataFrame, room: int = 1024, max_docs: int | None = None, max_c
     return out.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, **options) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS, keep_words: bool = True, **options) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset."""
-    out = pack(token_pieces(docs, tokenizer, room, end_id, id_col, text_col, with_ids, cache_words), room, **options)
+    out = pack(token_pieces(docs, tokenizer, room, end_id, id_col, text_col, with_ids, cache_words, keep_words), room, **options)
     return out.withColumn("length", F.col("length").cast("long"))

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, drop_ids, materialize, whole
+from .common import col, drop_ids, materialize, tidy, whole
 from .components import components
 
 BLOCK = 23
@@ -232,6 +232,7 @@ def in_bands(sets: DataFrame, bands: int, per_band: int) -> DataFrame:
             keys = [band_keys(hashes.values.to_numpy().view(np.uint32), bands, per_band) for hashes in batch.column(1)]
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(nodes, bands))], ["key", "node"])
+        tidy()
 
     return sets.select("node", "hashes").mapInArrow(run, "key long, node long")
 

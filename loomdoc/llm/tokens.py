@@ -2,7 +2,8 @@
 
 ``WordIds`` gives the same ids as ``Tokenizer.encode`` over whole texts. It cuts
 a text where the tokenizer's own pre-tokenizer surely cuts, at a single space
-between two words, and remembers each piece's ids. Pieces of plain letters go
+between two words, and remembers each piece's ids: in two generations, so that
+when the younger is full the elder goes, and words that are met again stay. Pieces of plain letters go
 to the library's BPE model itself, other pieces to its whole tokenizer, and a
 text whose white space isn't that plain goes to the whole tokenizer at once, as
 does one that holds the string of an added token.
@@ -23,7 +24,7 @@ import numpy as np
 
 #: Letters below this are in no need of Unicode normalisation.
 PLAIN_END = "ɐ"
-#: Words a worker remembers at most, about 200 bytes each.
+#: Words a worker remembers, about 200 bytes each, and those of one text more.
 CACHE_WORDS = 1_200_000
 TAIL = frozenset(".,;:!?")
 ODD_CONTROLS = re.compile("[\x1c-\x1f]")
@@ -57,7 +58,12 @@ class WordIds(dict):
         self.spaced = not spec.get("normalizer")  # a piece keeps the space before it; else white space is dropped and case is folded
         self.letters = byte_letters()
         self.max_words = max_words
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.flat, self.off = array("I"), array("q", [0])
+        self.elder = ({}, self.flat, self.off)
 
     def _plain(self, piece: str) -> list[int]:
         return [t.id for t in self.bpe.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
@@ -84,7 +90,9 @@ class WordIds(dict):
         return list(self.flat[self.off[i] : self.off[i + 1]])
 
     def __missing__(self, word: str) -> int:
-        ids = self._ids(word)
+        known, flat, off = self.elder
+        i = known.get(word)
+        ids = self._ids(word) if i is None else flat[off[i] : off[i + 1]] if i >= 0 else None
         if ids is None:
             self[word] = -1
             return -1
@@ -107,7 +115,8 @@ class WordIds(dict):
             return np.zeros(0, np.uint32)
         if any(a in text for a in self.added) or self.added_folded and any(a in text.lower() for a in self.added_folded):
             return self._all(text)
-        if len(self) > self.max_words:
+        if 2 * len(self) > self.max_words:
+            self.elder = (dict(self), self.flat, self.off)
             self.clear()
             self.flat, self.off = array("I"), array("q", [0])
         if self.spaced:
