@@ -80,8 +80,8 @@ def merge_round(symbols: np.ndarray, last: np.ndarray, next_symbol: int, most: i
     return symbols[stay], last[stay], pairs
 
 
-def compress(docs: list[np.ndarray], ids: list[int | None], base: int, rounds: int | None = None, min_count: int = 16, per_round: int = 2700) -> bytes:
-    """A shard's image; rounds, if given, are the most there are."""
+def compress(docs: list[np.ndarray], ids: list[int | None], base: int, rounds: int | None = None, min_count: int = 16, per_round: int = 1 << 14) -> bytes:
+    """A shard's image. Symbols are of 16 bits, and run out at 65,536, unless plain ids alone need more. rounds, if given, are the most there are."""
     sizes = np.array([len(d) for d in docs], np.int64)
     symbols = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
     base = max(base, int(symbols.max(initial=0)) + 1)
