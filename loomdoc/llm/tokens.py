@@ -57,6 +57,8 @@ class WordIds(dict):
         self.added_folded = [t["content"].lower() for t in added if t["normalized"]]  # these are looked for after normalisation
         self.spaced = not spec.get("normalizer")  # a piece keeps the space before it; else white space is dropped and case is folded
         self.letters = byte_letters()
+        self.space = self.letters[32] if self.spaced else ""
+        self.tails = {c: self._plain(c) for c in TAIL}
         self.max_words = max_words
         self.forget()
 
@@ -65,29 +67,31 @@ class WordIds(dict):
         self.flat, self.off = array("I"), array("q", [0])
         self.elder = ({}, self.flat, self.off)
 
-    def _plain(self, piece: str) -> list[int]:
-        return [t.id for t in self.bpe.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+    def _plain(self, word: str, space: str = "") -> list[int]:
+        """The model's ids of a piece in its own letters; ASCII letters and marks stand for themselves."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.bpe.tokenize(space + letters)]
 
     def _ids(self, word: str) -> list[int] | None:
         """None: the text must go to the whole tokenizer."""
         if self.spaced:
             if not word or word[0].isspace() or word[-1].isspace():
                 return None
-            if word.isalpha() and max(word) < PLAIN_END:
-                return self._plain(f" {word}")
-            if word[-1] in TAIL and word[:-1].isalpha() and max(word) < PLAIN_END:
-                return self._of(word[:-1]) + self._plain(word[-1])
+            if word.isalpha() and (word.isascii() or max(word) < PLAIN_END):
+                return self._plain(word, self.space)
+            if word[-1] in TAIL and word[:-1].isalpha() and (word.isascii() or max(word) < PLAIN_END):
+                return self._of(word[:-1]) + self.tails[word[-1]]
             return self.whole.encode(f" {word}", add_special_tokens=False).ids
         low = word.lower()
-        if low.isalpha() and max(low) < PLAIN_END:
+        if low.isalpha() and (low.isascii() or max(low) < PLAIN_END):
             return self._plain(low)
-        if low[-1] in TAIL and low[:-1].isalpha() and max(low) < PLAIN_END:
-            return self._of(low[:-1]) + self._plain(low[-1])
+        if low[-1] in TAIL and low[:-1].isalpha() and (low.isascii() or max(low) < PLAIN_END):
+            return self._of(low[:-1]) + self.tails[low[-1]]
         return self.whole.encode(word, add_special_tokens=False).ids
 
     def _of(self, word: str) -> list[int]:
         i = self[word]
-        return list(self.flat[self.off[i] : self.off[i + 1]])
+        return self.flat[self.off[i] : self.off[i + 1]].tolist()
 
     def __missing__(self, word: str) -> int:
         known, flat, off = self.elder
