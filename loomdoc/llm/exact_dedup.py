@@ -1,11 +1,17 @@
 """Exact dedup by a tree merge of digest runs, in DataFrame operations only.
 
-Rows are dealt to runs. A run holds, for each digest in it, the smallest
-identifier and the number of rows. Binomial rounds merge ``fan_in`` runs into
-one at a time, so that each level keeps the smallest identifier of the levels
-below; the last run holds the groups. The way back goes from the last run to
-the first runs and from those to the rows: a group that holds a third of all
-rows meets them run by run, never in one task.
+There are as many runs as partitions, and run i is partition i. In binomial rounds
+``fan_in`` partitions at a time exchange their runs: written in base ``fan_in``, the
+partners of a round have numbers that differ in that round's digit alone, and each
+takes the share of the digests whose own number has its digit there. A partition
+then sorts what it got and merges it: of equal digests one stays, with the smallest
+identifier and the number of rows. So after each round a run covers ``fan_in`` times
+as many rows and a ``fan_in``-th of the digests; after the last, every digest is in
+one run, in order, and no run ever has all of them.
+
+A group that holds a third of all rows is spread over all runs at first, and is one
+row of each run after its first merge. On the way back, rows meet their groups by
+digest, those of large groups in as many parts as they ask for (``common.hot_keys``).
 
 Two rows are equal if SHA-256 and byte length of their normalised texts agree
 (white-space runs become one space). That pair is the key of every merge, so
@@ -18,35 +24,58 @@ one; an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, SPACE_RUN, col, drop_ids, fresh, materialize, partitions, whole
+from .common import LAST_ID, SPACE_RUN, col, drop_ids, fresh, hot_keys, materialize, partitions, replicated, salted, whole
 
 
-def digests(docs: DataFrame, runs: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rid, run, sha, size): one small row per document, computed once. rid is the row's own number."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, rid, sha, size): one small row per document, computed once. rid is the row's own number."""
     norm = F.regexp_replace(whole(col(docs, text_col)), SPACE_RUN, " ")
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), norm.alias("norm"))
-    rows = rows.select("doc_id", "rid", F.pmod(F.xxhash64("rid"), F.lit(runs)).cast("int").alias("run"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").alias("size"))
-    return materialize(rows, "digests")
+    return materialize(rows.select("doc_id", "rid", F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").alias("size")), "digests")
+
+
+def tree(least: int, fan_in: int) -> tuple[int, int]:
+    """(runs a merge takes, rounds): at least so many runs in all, and the fewest rounds of at most fan_in."""
+    rounds = 1
+    while fan_in**rounds < least:
+        rounds += 1
+    fan = 2
+    while fan**rounds < least:
+        fan += 1
+    return fan, rounds
+
+
+def digit(number: Column, place: int) -> Column:
+    """number's digit of that place value, times the place value; see tree."""
+    return number - F.pmod(number, F.lit(place))
+
+
+def merge_runs(rows: DataFrame, least_runs: int, fan_in: int) -> DataFrame:
+    """(sha, size, best, members) of rows (doc_id, rid, sha, size): every digest once."""
+    fan, rounds = tree(least_runs, fan_in)
+    runs = fan**rounds
+    best = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "rid", "doc_id")
+    level = rows.select(F.pmod(F.xxhash64("rid"), F.lit(runs)).cast("int").alias("run"), "sha", "size", best.alias("best"), F.lit(1).cast("long").alias("members"))
+    share = F.pmod(F.xxhash64("sha"), F.lit(runs)).cast("int")
+    for i in range(rounds):
+        low, high = fan**i, fan ** (i + 1)
+        # the partner whose digit of this round is the digest's
+        to = F.col("run") - (digit(F.pmod("run", F.lit(high)), low)) + digit(F.pmod(share, F.lit(high)), low)
+        sent = level.withColumn("run", to.cast("int")).repartitionById(runs, F.col("run"))
+        # sorted runs side by side, so equal digests are neighbours: a streaming merge, without another exchange or sort
+        level = sent.sortWithinPartitions("run", "sha", "size").groupBy("run", "sha", "size").agg(F.min("best").alias("best"), F.sum("members").alias("members"))
+    return level.select("sha", "size", "best", "members")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 8) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    runs, need = fan_in, partitions(docs.sparkSession)
-    while runs < need:
-        runs *= fan_in
-    rows = digests(docs, runs, id_col, text_col)
-    first = rows.groupBy("run", "sha", "size").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "rid", "doc_id")).alias("best"), F.count(F.lit(1)).alias("members"))
-    level, left = first, runs
-    while left > 1:
-        level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).groupBy("run", "sha", "size").agg(F.min("best").alias("best"), F.sum("members").alias("members"))
-        left //= fan_in
-    groups = level.select("sha", "size", "best", "members")
-    # each digest is at most once in a first run, so this join has at most `runs` rows of a key
-    known = first.select("run", "sha", "size").join(groups, ["sha", "size"])
-    out = rows.join(known, ["run", "sha", "size"])
+    rows = digests(docs, id_col, text_col)
+    groups = materialize(merge_runs(rows, partitions(docs.sparkSession), fan_in), "groups")
+    hot = hot_keys(groups, "sha", "members")
+    out = salted(rows, "sha", hot, "rid").join(replicated(groups, "sha", hot), ["sha", "size", "salt"])
     return out.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),

@@ -56,6 +56,30 @@ def test_exact_dedup(spark, docs):
     assert exact_dedup.exact_dedup(cases.empty(spark)).count() == 0
 
 
+def test_runs_meet_in_binomial_rounds(spark):
+    assert exact_dedup.tree(1, 8) == (2, 1) and exact_dedup.tree(12, 8) == (4, 2) and exact_dedup.tree(211, 8) == (6, 3) and exact_dedup.tree(8, 2) == (2, 3)
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.lit(3000) - F.col("id")).alias("rid"), F.unhex(F.sha2(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 700).cast("string")), 256)).alias("sha"), F.lit(3).alias("size"))
+    for fan_in, least in ((2, 8), (3, 9), (8, 12)):
+        merged = exact_dedup.merge_runs(rows, least, fan_in)
+        physical = merged._jdf.queryExecution().executedPlan().toString()
+        rounds = exact_dedup.tree(least, fan_in)[1]
+        assert physical.count("Exchange shufflepartitionidpassthrough") == rounds == physical.count("Exchange ") == physical.count("- Sort ") and "Python" not in physical
+        got = {bytes(r.sha): (r.best.doc_id, r.members) for r in merged.collect()}
+        assert len(got) == merged.count() and got[hashlib.sha256(b"hot").digest()] == (0, 1000)
+        for k in range(700):
+            mine = [i for i in range(3000) if i % 700 == k and i % 3]
+            assert got.get(hashlib.sha256(str(k).encode()).digest()) == ((min(mine), len(mine)) if mine else None)
+
+
+def test_large_groups_meet_their_rows_in_parts(spark, monkeypatch):
+    from loomdoc.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    rows = [(i, "same" if i % 3 else f"text {i % 60}", None, None, None) for i in range(600)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(cases.frame(spark, rows=rows)).collect()}
+    assert got == {i: (1, 400, i == 1) if i % 3 else (i % 60, 10, i < 60) for i in range(600)}
+
+
 def test_drop_exact_duplicates(spark, docs):
     out = exact_dedup.drop_exact_duplicates(docs)
     assert out.columns == docs.columns
