@@ -58,7 +58,8 @@ def test_exact_dedup(spark, docs):
 
 def test_runs_meet_in_binomial_rounds(spark):
     assert exact_dedup.tree(1, 8) == (2, 1) and exact_dedup.tree(12, 8) == (4, 2) and exact_dedup.tree(211, 8) == (6, 3) and exact_dedup.tree(8, 2) == (2, 3)
-    rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.lit(3000) - F.col("id")).alias("rid"), F.unhex(F.sha2(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 700).cast("string")), 256)).alias("sha"), F.lit(3).alias("size"))
+    text = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 700).cast("string"))
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.lit(3000) - F.col("id")).alias("rid"), F.unhex(F.sha2(text, 256)).alias("sha"), F.length(text).alias("size"))
     for fan_in, least in ((2, 8), (3, 9), (8, 12)):
         merged = exact_dedup.merge_runs(rows, least, fan_in)
         physical = merged._jdf.queryExecution().executedPlan().toString()
