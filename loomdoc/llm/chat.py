@@ -18,10 +18,14 @@ anything that looks like a control string gets a stand-in (``<`` becomes ``\\l``
 ``[`` becomes ``\\b``), so no text holds a control string and every text comes
 back as it was.
 
-Trees are built per group of conversations: those that share their first turn,
-dealt by what follows it to as many groups as their number asks for, so a first
-turn that a third of all conversations share isn't one task. Each group repeats
-the shared turns once.
+A tree holds conversations that share their first turn, about ``group_size`` at
+most, so a first turn that a third of all conversations share isn't one task. More
+are split where they part: a prefix that more of them share is a trunk, and what
+goes on from a trunk by a turn that isn't one itself is a branch and stays whole.
+Branches of a trunk are dealt to trees by their own hash, and each such tree
+repeats the trunk's turns once; every other shared turn is in one tree alone. Only
+conversations that are the same to their ends, or end within a trunk, are dealt by
+their ids.
 
 Defined cases: a null text or role is the empty one; rows of equal turn number
 are ordered by role, then text; repeated rows are repeated turns; conversations
@@ -38,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, whole
+from .common import col, hot_keys, materialize, replicated, salted, whole
 
 CONTROL = re.compile(r"\\|<(?=/?s>|</?SYS>>|</?ROLE)|\[(?=/?INST\])")
 STAND_IN = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
@@ -111,7 +115,27 @@ def build_tree(conversations: list[tuple[int | None, list[tuple[str, str]]]]) ->
     return "".join(parts), nodes, leaves
 
 
-def trees(conversations: DataFrame, group_size: int = 256) -> DataFrame:
+def trunks(by: DataFrame, group_size: int) -> DataFrame:
+    """(id, trunk, depth, groups) of the conversations of by (conv_id, path) whose first turn more than group_size share: the
+    longest prefix that more than group_size share, its length, and to how many trees its own branches go."""
+    firsts = by.select("conv_id", F.col("path")[0].alias("p"), "path")
+    shared = materialize(firsts.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_size), "shared-firsts")
+    hot = hot_keys(shared, "p")
+    deep = salted(firsts, "p", hot, "conv_id").join(replicated(shared.select("p"), "p", hot), ["p", "salt"], "left_semi")
+    each = deep.select("conv_id", "path", F.posexplode("path").alias("at", "prefix"))
+    each = materialize(each.select("conv_id", (F.col("at") + 1).alias("depth"), "prefix", F.when(F.col("at") > 0, F.try_element_at("path", F.col("at"))).alias("parent")), "prefixes")
+    often = each.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent")).where(F.col("n") > group_size)
+    often = materialize(often, "shared-prefixes")
+    on = often.groupBy("parent").agg(F.sum("n").alias("on")).where("parent is not null")
+    own = often.join(on.withColumnRenamed("parent", "prefix"), "prefix", "left").select("prefix", (F.col("n") - F.coalesce("on", F.lit(0))).alias("own"))
+    own = own.select("prefix", F.greatest(F.ceil(2 * F.col("own") / group_size), F.lit(1)).cast("long").alias("groups"))
+    hot = hot_keys(often, "prefix")
+    met = salted(each, "prefix", hot, "conv_id").join(replicated(own, "prefix", hot), ["prefix", "salt"])
+    longest = met.groupBy("conv_id").agg(F.max(F.struct("depth", "prefix", "groups")).alias("m"))
+    return materialize(longest.select(F.col("conv_id").alias("id"), F.col("m.prefix").alias("trunk"), F.col("m.depth").alias("depth"), F.col("m.groups").alias("groups")), "trunks")
+
+
+def trees(conversations: DataFrame, group_size: int = 128) -> DataFrame:
     """A row per tree: tree, text, nodes, leaves. Conversations have at most as many turns and characters as a row may have."""
     rows = conversations.select(
         col(conversations, "conv_id").cast("long").alias("conv_id"),
@@ -121,25 +145,21 @@ def trees(conversations: DataFrame, group_size: int = 256) -> DataFrame:
     )
     by = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     by = by.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
-    by = by.withColumn("first", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"])).withColumn("rest", F.xxhash64("turns"))
-    by = materialize(by, "conversations")
-    # how many share a first turn decides into how many groups they go
-    shared = by.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_size)
-    shared = materialize(shared.select("first", F.ceil(F.col("n") / group_size).cast("long").alias("groups")), "shared-firsts")
-    # and how many are one and the same conversation, into how many each of those goes
-    copies = by.groupBy("first", "rest").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_size)
-    copies = materialize(copies.select("first", "rest", F.ceil(F.col("n") / group_size).cast("long").alias("copy_groups")), "same-conversations")
-    dealt = by.join(shared, "first", "left").join(copies, ["first", "rest"], "left")
-    part = F.pmod("rest", F.coalesce("groups", F.lit(1)))
-    salt = F.pmod(F.xxhash64("conv_id"), F.coalesce("copy_groups", F.lit(1)))
-    dealt = dealt.withColumn("tree", F.xxhash64("first", part, salt))
+    # a hash of every prefix: of the one before and the turn
+    chained = F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda path, t: F.concat(path, F.array(F.xxhash64(F.element_at(path, -1), t["role"], t["text"]))))
+    by = materialize(by.withColumn("path", F.slice(chained, 2, F.size("turns"))), "conversations")
+    found = trunks(by.select("conv_id", "path"), group_size)
+    dealt = by.join(found, by["conv_id"].eqNullSafe(found["id"]), "left")
+    branch = F.coalesce(F.try_element_at("path", F.col("depth") + 1), F.xxhash64("conv_id"))
+    tree = F.when(F.col("trunk").isNull(), F.col("path")[0]).otherwise(F.xxhash64("trunk", F.pmod(branch, F.col("groups"))))
+    dealt = dealt.select(tree.alias("tree"), by["conv_id"], "turns")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         convs = [(None if pd.isna(i) else int(i), [(t["role"], t["text"]) for t in turns]) for i, turns in zip(pdf["conv_id"], pdf["turns"], strict=True)]
         text, nodes, leaves = build_tree(convs)
         return pd.DataFrame({"tree": [pdf["tree"].iloc[0]], "text": [text], "nodes": [nodes], "leaves": [leaves]})
 
-    return materialize(dealt.select("tree", "conv_id", "turns").groupBy("tree").applyInPandas(build, TREES), "trees")
+    return materialize(dealt.groupBy("tree").applyInPandas(build, TREES), "trees")
 
 
 def read_back(built: DataFrame) -> DataFrame:

@@ -491,6 +491,24 @@ def test_chat(spark):
     assert chat.read_back(chat.trees(df.limit(0))).count() == 0
 
 
+def test_a_shared_prefix_is_split_where_conversations_part(spark):
+    talk = lambda c, i: ("user" if i % 2 == 0 else "assistant", "hi" if i == 0 else f"pair {c // 2} turn {i}" if i < 5 else f"own {c} turn {i}")
+    rows = [(c, i, *talk(c, i)) for c in range(600) for i in range(6)]
+    rows += [(1000 + c, i, r, t) for c in range(300) for i, (r, t) in enumerate([("user", "hi"), ("assistant", "same")])]  # the same to their ends
+    rows += [(2000 + c, 0, "user", f"alone {c % 20}") for c in range(40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    built = chat.trees(df, group_size=128).collect()
+    assert sum(len(t.leaves) for t in built) == 940 and max(len(t.leaves) for t in built) <= 128
+    talks = [t for t in built if "pair" in t.text]
+    assert sum(len(t.nodes) for t in talks) == 300 * 6 + len(talks) and len(talks) <= 12
+    texts = collections.Counter(t.text[n.begin : n.end] for t in talks for n in t.nodes)
+    assert {n for x, n in texts.items() if "hi" not in x} == {1}  # every turn below the trunk once
+    assert sum(len(t.nodes) for t in built if "same" in t.text) <= 2 * 8
+    assert sum("alone" in t.text for t in built) == 20
+    read = {r.conv_id: r.n_turns for r in chat.read_back(chat.trees(df, group_size=3)).collect()}
+    assert read == dict(collections.Counter(r[0] for r in rows))
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\l", "[INST]", "[\\INST]", "</s", "<<SYS>>", "<<<SYS>>", "[[INST]]", "<", "[", "\\\\b", "</s></s>", "[/INST] ", " [INST]"])
 @pytest.mark.parametrize("role", ["user", "assistant", "system", "", "a>b", "<<ROLE"])
 def test_template_is_reversible(role, text):
