@@ -541,11 +541,35 @@ def test_gif_of_documents(spark, docs):
     by = collections.defaultdict(set)
     for r in gif.documents_as_gif(docs, with_media=True).collect():
         by[r.payload_sha256].add((r.media_sha256, r.media_bytes, r.feature))
-        assert hashlib.sha256(bytes(r.media)).hexdigest() == r.media_sha256
+        media = bytes(r.media)
+        assert (len(media), hashlib.sha256(media).hexdigest()) == (r.media_bytes, r.media_sha256)
+        again = gif.decode(media)
+        assert again.error is None and hashlib.sha256(b"".join(f.pixels for f in again.frames)).hexdigest() == r.payload_sha256
+        assert [f.disposal for f in r.frames] == [2] * len(again.frames) and {f.transparent for f in r.frames} == {255}
+        # a frame shows the text's bytes in it and no others
+        raw = b"".join(f.pixels for f in again.frames)[: r.n_bytes]
+        per = 24 * 576
+        for i, f in enumerate(r.frames):
+            part = collections.Counter(x >> 6 for x in raw[i * per : (i + 1) * per])
+            assert [f.histogram[x] for x in (0, 21, 42, 63)] == [part[q] for q in range(4)] and sum(f.histogram) == r.frames[0].height * 24
+        quarters = collections.Counter(x >> 6 for x in raw)
+        share = "/".join(str(quarters[q] * 1000 // max(len(raw), 1)) for q in range(4))
+        assert r.feature == f"{len(r.frames)} frames, {10 * len(r.frames)} cs, grey {share}"
     assert all(len(v) == 1 for v in by.values())
     assert gif.documents_as_gif(cases.empty(spark)).count() == 0
 
 
+def test_a_small_file_that_claims_a_huge_picture(spark):
+    huge = b"GIF89a" + b"\xff\xff\xff\xff\0\0\0"
+    frame = b"\x2c" + bytes(4) + b"\xff\xff\xff\xff\0" + b"\x02" + gif.sub_blocks(gif.lzw_encode(bytes(9), 2))
+    assert "limit" in gif.decode(huge + frame + b";").error
+    assert "limit" in gif.decode(b"GIF89a" + b"\x04\0\x04\0\0\0\0" + frame + b";").error
+    bomb = gif.lzw_encode(bytes(1 << 20))
+    assert len(gif.lzw_decode(bomb, 8, 1000)) < 1 << 19
+    df = spark.createDataFrame([(1, bytearray(huge + frame + b";"))], "id int, media binary")
+    assert "limit" in gif.gif_frames(df).first().gif_error
+
+
 def test_lzw_round_trip():
     rng = np.random.default_rng(6)
     for bits in (2, 4, 8):
