@@ -1,14 +1,15 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another by logistic regressions over the
-words of a text; each later model also gets the log-odds that the earlier ones
-give. While training, those come out of fold: a document's come from models that
-were fitted without it. The last category decides, at the threshold that gives
+words of a text; each later model also gets the probabilities that the earlier
+ones give. While training, those come out of fold: a document's come from models
+that were fitted without it. The last category decides, at the threshold that gives
 the best F1 over out-of-fold predictions.
 
 The models are fitted on the driver over a bounded sample of labelled rows
-(``max_train_rows``, the first by a hash of their ids), with a bounded number
-of words each (``max_words``); every document is scored by its whole text, in
+(``max_train_rows``, the first by a hash of their ids, as far as their words have
+``max_train_bytes`` together), with a bounded number of words each
+(``max_words``); repeated rows are dropped before they are sent. Every document is scored by its whole text, in
 one pass over the table without a shuffle.
 
 A word is a run of ASCII letters and digits and of characters beyond ASCII,
@@ -30,7 +31,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, fresh, whole
@@ -61,7 +62,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Linear:
-    """Log-odds: bias + the weights of present words + those of earlier categories' log-odds."""
+    """Log-odds: bias + the weights of present words + those of earlier categories' probabilities."""
 
     bias: float
     words: dict[bytes, float] = field(default_factory=dict)
@@ -79,9 +80,10 @@ class Chain:
     threshold: float
 
     def odds(self, text: str | None) -> list[float]:
-        words, out = words_of(text), []
+        words, out, earlier = words_of(text), [], []
         for model in self.models:
-            out.append(model.odds(words, out))
+            out.append(model.odds(words, earlier))
+            earlier.append(float(sigmoid(out[-1])))
         return out
 
 
@@ -168,12 +170,12 @@ def fit_chain(texts: Iterable[set[bytes]], labels: np.ndarray, folds: np.ndarray
             out = folds == k
             odds[out] = bags.odds(fit_linear(bags, ~out, earlier, y, max_words), earlier)[out]
         models.append(fit_linear(bags, np.ones(bags.n, bool), earlier, y, max_words))
-        earlier = np.column_stack([earlier, odds]).astype(np.float32)
+        earlier = np.column_stack([earlier, sigmoid(odds)]).astype(np.float32)
     return Chain(names, models, best_threshold(odds, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, max_train_rows: int = 6000, max_words: int = 300, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """The chain, from at most max_train_rows labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, max_train_rows: int = 6000, max_train_bytes: int = 64 << 20, max_words: int = 300, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """The chain, from at most max_train_rows labelled rows. Of an id's several texts the one with the least words, as bytes, counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), *[F.expr(sql).cast("int").alias(f"label_{name}") for name, sql in categories]).dropna()
     known = known.groupBy("label_id").agg(*[F.max(f"label_{name}").alias(f"label_{name}") for name, _ in categories])
     known = known.withColumn("place", F.xxhash64("label_id")).orderBy("place").limit(max_train_rows)
@@ -190,8 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
 
     columns = [f"label_{name}" for name, _ in categories]
     fields = "label_id long, " + ", ".join(f"{c} int" for c in columns) + ", place long, bag binary"
-    pdf: pd.DataFrame = rows.select("label_id", *columns, "place", "text").mapInArrow(bags, fields).toPandas()
-    pdf = pdf.sort_values(["place", "label_id", "bag"], ignore_index=True).drop_duplicates("label_id")
+    found = rows.select("label_id", *columns, "place", "text").mapInArrow(bags, fields)
+    once = found.groupBy("label_id", *columns, "place").agg(F.min("bag").alias("bag"))  # max_train_rows rows
+    so_far = F.sum(F.octet_length("bag").cast("long")).over(Window.orderBy("place", "label_id").rowsBetween(Window.unboundedPreceding, 0))
+    pdf: pd.DataFrame = once.withColumn("so_far", so_far).where(F.col("so_far") <= max_train_bytes).drop("so_far").toPandas()
+    pdf = pdf.sort_values(["place", "label_id"], ignore_index=True)
     texts = (features(set(bytes(b).split())) for b in pdf["bag"])
     return fit_chain(texts, pdf[columns].to_numpy(), (pdf["place"].to_numpy() % folds), [n for n, _ in categories], max_words)
 

@@ -64,6 +64,54 @@ def test_the_later_model_uses_the_earlier_one():
     assert chain.models[1].earlier[0] > 0 and chain.odds("x")[1] > chain.threshold > chain.odds("y")[1]
 
 
+def test_chain_against_brute_force(spark):
+    """Out-of-fold probabilities fold by fold, then every document's probabilities by their formulas."""
+    import math
+
+    import numpy as np
+
+    docs, labels = corpus(300, 7)
+    texts = [toxicity.words_of(t) for _, t, *_ in docs]
+    y = np.array([[1 - q, t] for _, q, t in labels])
+    folds = np.arange(300) % 3
+    chain = toxicity.fit_chain(texts, y, folds, ["low_quality", "toxic"], 50)
+    bags, none = toxicity.Bags(texts), np.zeros((300, 0), np.float32)
+
+    def p_of(model, words, earlier):
+        z = model.bias + sum(w for word, w in model.words.items() if word in words) + sum(a * b for a, b in zip(model.earlier, earlier))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    first = [0.0] * 300
+    for k in range(3):
+        model = toxicity.fit_linear(bags, folds != k, none, y[:, 0].astype(np.float32), 50)
+        for i in np.flatnonzero(folds == k):
+            first[i] = p_of(model, texts[i], [])
+    want = toxicity.fit_linear(bags, np.ones(300, bool), np.array(first, np.float32)[:, None], y[:, 1].astype(np.float32), 50)
+    got = chain.models[1]
+    assert got.words.keys() == want.words.keys() and got.bias == pytest.approx(want.bias, abs=1e-3) and got.earlier == pytest.approx(want.earlier, abs=1e-3)
+    assert all(got.words[w] == pytest.approx(want.words[w], abs=1e-3) for w in want.words)
+    odd = [r for r in cases.documents() if r[0] is not None and r[0] not in (11, 12)]
+    for i, text, *_ in docs[:80] + odd:
+        words = toxicity.words_of(text)
+        p1 = p_of(chain.models[0], words, [])
+        p2 = p_of(chain.models[1], words, [p1])
+        assert toxicity.sigmoid(np.array(chain.odds(text))) == pytest.approx([p1, p2])
+    scored = {r.doc_id: r for r in toxicity.score(cases.frame(spark, rows=docs), chain).collect()}
+    for i, text, *_ in docs:
+        odds = chain.odds(text)
+        assert (scored[i].toxic, scored[i].kept) == (odds[1] > chain.threshold, odds[1] <= chain.threshold)
+        assert (scored[i].p_low_quality, scored[i].p_toxic) == pytest.approx(tuple(toxicity.sigmoid(np.array(odds))))
+
+
+def test_repeated_and_large_rows_are_dropped_before_they_are_sent(spark):
+    docs, labels = corpus(120, 4)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, often = cases.frame(spark, rows=docs), cases.frame(spark, rows=docs + docs[:1] * 500)
+    assert toxicity.train(once, table) == toxicity.train(often, table)
+    none = toxicity.train(once, table, max_train_bytes=10)
+    assert none.threshold == float("inf")
+
+
 def test_threshold():
     import numpy as np
 
