@@ -3,7 +3,9 @@
 Rounds of large-star and small-star steps (each node hands its neighbours on to
 the smallest one it knows) between which every partition contracts the edges it
 holds. A round costs a few shuffles of edge pairs; edges only get fewer; rounds
-grow with the logarithm of a component's width. Nothing goes to the driver but a
+grow with the logarithm of a component's width. Minima are summed up before they
+are shuffled, and are written before they are joined, so that both sides of a join
+are plain shuffles: the planner splits the edges of a hub. Nothing goes to the driver but a
 count and a checksum.
 """
 
@@ -49,9 +51,9 @@ def contract(edges: DataFrame) -> DataFrame:
 
 def star_round(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-    small = large.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+    small = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "small")
     over = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return over.unionByName(small.select("a", F.col("m").alias("b"))).distinct()
 

@@ -12,7 +12,8 @@ linked pair of fingerprints is met exactly once. There are 2^24 anchors, and a
 fingerprint has about 68 replicas at threshold 2 and 11 at threshold 1.
 
 Equal fingerprints are one node, so a group of copies is one row here however
-many rows it has.
+many rows it has. A component's name goes back to its fingerprints, and from those
+to the rows, in parts where they are many (``common.hot_keys``).
 
 ``near_duplicates`` finds documents whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more. A fingerprint of whole texts can't: at 0.8 a
@@ -27,7 +28,8 @@ leaves; those compared with it stay, linked or not, while any two of them are in
 different components. The first is the smallest id, later ones have the most
 links, so the middle of a star of copies is soon found. What is left after
 ``PIVOTS`` rounds is compared pair by pair, in blocks. So any two documents that
-share a key are compared or connected by others.
+share a key are compared or connected by others. What is joined is written first,
+so both sides of a join are plain shuffles and the planner may split a key's rows.
 
 Defined cases: a null text is the empty one; texts without words have
 fingerprint 0 and link like any others; fewer words than a shingle has are one
@@ -47,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, drop_ids, materialize, tidy, whole
+from .common import col, drop_ids, hot_keys, materialize, replicated, salted, tidy, whole
 from .components import components
 
 BLOCK = 23
@@ -177,14 +179,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 def simhash_components(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, fingerprint, component_id."""
-    fps = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    fps = materialize(fingerprints(docs, shingle, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = links(nodes.select(F.lit(0).alias("slot"), F.col("fp").alias("node"), "fp"), threshold)
     roots = materialize(components(found), "roots")
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(nodes.join(named, "root").select("fp", "component_id"), "components")
-    out = fps.join(named, "fp")
+    nodes = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    named = materialize(nodes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    hot = hot_keys(named, "root")
+    nodes = salted(nodes, "root", hot, "fp").join(replicated(named.drop("n"), "root", hot), ["root", "salt"])
+    nodes = materialize(nodes.select("fp", "component_id", "n"), "named")
+    hot = hot_keys(nodes, "fp")
+    out = salted(fps, "fp", hot, "rid").join(replicated(nodes.drop("n"), "fp", hot), ["fp", "salt"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -241,7 +246,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """(doc_id, component_id) of every id that has a near duplicate."""
     sets = materialize(shingle_sets(docs, shingle, id_col, text_col), "shingles")
     keys = materialize(in_bands(sets, bands, per_band), "band-keys")
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    often = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
     live = materialize(keys.join(often, "key", "left_semi"), "shared-keys")
     shared = materialize(sets.join(live.select("node").distinct(), "node", "left_semi"), "shared-shingles")
     near = materialize(live.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "near")
@@ -266,7 +271,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 def undecided(members: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, node, root) of members (key, node) of keys that more than one component has."""
     rooted = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    mixed_keys = materialize(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "mixed-keys")
     return rooted.join(mixed_keys, "key", "left_semi")
 
 

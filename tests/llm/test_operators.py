@@ -262,6 +262,43 @@ def test_near_duplicates_with_new_words_in_a_small_vocabulary(spark):
     assert got == {i: i - i % 2 for i in range(120)}
 
 
+def test_recall_by_similarity(spark):
+    """Every band from 0.8 on; the queries are all rows, pairs by brute force over an inverted index."""
+    rng = __import__("random").Random(9)
+    rows = []
+    for blocks in (2, 4, 7, 9, 11, 14):
+        for _ in range(40):
+            words = [f"w{rng.randrange(700)}" for _ in range(600)]
+            rows += [(len(rows), " ".join(words), "en", "s", 0), (len(rows) + 1, " ".join(edited(rng, words, blocks)), "en", "s", 0)]
+    sets = [five_words(t) for _, t, *_ in rows]
+    index = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            index[x].append(i)
+    pairs = {(i, j) for ids in index.values() for j in ids for i in ids if i < j}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(cases.frame(spark, rows=rows)).collect()}
+    met, all_ = collections.Counter(), collections.Counter()
+    for i, j in pairs:
+        if (s := jaccard(sets[i], sets[j])) >= 0.8:
+            all_[int(s * 20)] += 1
+            met[int(s * 20)] += got.get(i, i) == got.get(j, j)
+    assert set(all_) == {16, 17, 18, 19} and min(all_.values()) >= 25
+    assert all(met[k] >= 0.98 * all_[k] for k in all_)
+    assert all(jaccard(sets[i], sets[c]) >= 0.8 for i, c in got.items())  # pairs alone, so a member is linked to its name
+
+
+def test_simhash_of_large_groups(spark, monkeypatch):
+    from loomdoc.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 10)
+    rows = [(i if i % 7 else None, "same words in all of these" if i % 3 else f"own text number {i}", None, None, None) for i in range(400)]
+    got = collections.Counter((r.doc_id, r.component_id, r.fingerprint) for r in simhash.simhash_components(cases.frame(spark, rows=rows)).collect())
+    assert sum(got.values()) == 400
+    same = f"{brute_fingerprint(rows[1][1]):016x}"
+    mine = {k: n for k, n in got.items() if k[2] == same}
+    assert sum(mine.values()) == 266 and {k[1] for k in mine} == {1}
+
+
 def test_near_duplicates_around_a_middle_id(spark, monkeypatch):
     rng = __import__("random").Random(4)
     words = cases.prose(rng, 600).split(" ")
