@@ -25,9 +25,11 @@ similarity. A pair at similarity s is missed by all keys with a chance of
 
 Of those who share a key, one after another is compared with all others and then
 leaves; those compared with it stay, linked or not, while any two of them are in
-different components. The first is the smallest id, later ones have the most
-links, so the middle of a star of copies is soon found. What is left after
-``PIVOTS`` rounds is compared pair by pair, in blocks. So any two documents that
+different components. The first is the smallest id, the second has the most links,
+so the middle of a star of copies is found. What is left after ``PIVOTS`` rounds,
+mostly copies too far from all others, is compared in blocks: a task counts what
+its documents share by an inverted index of their shingles, leaves out those of
+which no one has enough, and gives links, not pairs. So any two documents that
 share a key are compared or connected by others. What is joined is written first,
 so both sides of a join are plain shuffles and the planner may split a key's rows.
 
@@ -57,8 +59,8 @@ RADIUS = 3
 #: The Golay code's generator polynomial, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 SEED = 42
-#: Rounds of one against all among those who share a key, and members a block has after them.
-PIVOTS, PER_BLOCK = 3, 64
+#: Rounds of one against all among those who share a key, and the members and shingles that a block has about, after them.
+PIVOTS, PER_BLOCK, BLOCK_SHINGLES = 2, 1024, 1 << 21
 
 
 def remainder(value: int) -> int:
@@ -258,12 +260,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
         if i < PIVOTS:
             pivots = materialize(central(live, near), "pivots")
             joined = live.join(pivots, "key")
-            found = joined.where("root <> pivot_root").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+            found = joined.where("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
             live = joined.where("node <> pivot").select("key", "node")
+            found = verified(shared, materialize(found.distinct(), "candidates"), similarity)
         else:
-            found = across(live)
-        found = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        near = near.unionByName(materialize(verified(shared, found, similarity), "near"))
+            found = across(live, shared, similarity)
+        near = near.unionByName(materialize(found, "near"))
         roots = materialize(components(near), "roots")
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
@@ -283,17 +285,56 @@ def central(members: DataFrame, near: DataFrame) -> DataFrame:
     return ranked.groupBy("key").agg(best).select("key", F.col("best.node").alias("pivot"), F.col("best.root").alias("pivot_root"))
 
 
-def across(members: DataFrame) -> DataFrame:
-    """(a, b) of every two members of a key that are in different components. A key's members are dealt
+def links_of(hashes: list[np.ndarray], roots: np.ndarray, side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """(i, j) of every two of the sets that are in different components, and on different sides if there are sides, and similar."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    out: list[tuple[int, int]] = []
+    empty = np.flatnonzero(sizes == 0)
+    out += [(int(empty[0]), int(i)) for i in empty[1:]]
+    owner = np.repeat(np.arange(len(hashes)), sizes)
+    names, number = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint32), return_inverse=True)
+    count = np.bincount(number, minlength=len(names))
+    # what no other set here has can't be shared: that bounds every similarity of a set
+    often = np.bincount(owner, count[number] > 1, len(hashes))
+    ends = np.cumsum(sizes)
+    by_name = owner[np.argsort(number, kind="stable")]
+    name_ends = np.cumsum(count)
+    # the sets of one component needn't ask: they are asked by all others
+    values, n = np.unique(roots, return_counts=True)
+    asking = np.flatnonzero((roots != values[np.argmax(n)]) & (often >= similarity * sizes - 1e-9) & (sizes > 0)) if len(roots) else roots
+    for i in asking.tolist():
+        mine = number[ends[i] - sizes[i] : ends[i]]
+        mine = mine[count[mine] > 1]
+        lengths = count[mine]
+        at = np.arange(int(lengths.sum())) + np.repeat(name_ends[mine] - np.cumsum(lengths), lengths)
+        shared = np.bincount(by_name[at], minlength=len(hashes))
+        ok = (shared >= similarity * (sizes[i] + sizes - shared) - 1e-9) & (roots != roots[i]) & (sizes > 0)
+        if side is not None:
+            ok &= side != side[i]
+        out += [(i, j) for j in np.flatnonzero(ok).tolist()]
+    return out
+
+
+def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of every two members of a key that are in different components and similar. A key's members are dealt
     to blocks and every two blocks meet by themselves, so no key is one task."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PER_BLOCK).cast("int").alias("blocks"))
+    sized = members.join(sets.select("node", F.size("hashes").alias("n")), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / PER_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = materialize(sized.groupBy("key").agg(blocks.alias("blocks")), "block-sizes")
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = ["key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    dealt = materialize(dealt.select(*cell, "block", "node", "root"), "blocks")
-    left, right = (dealt.select("key", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "node", "root")]) for x in "ab")
-    pairs = left.join(right, ["key", "i", "j"]).where("root_a <> root_b AND node_a < node_b AND (i = j OR block_a <> block_b)")
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    dealt = materialize(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root"), "blocks")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
+        hashes = [x.values.to_numpy().view(np.uint32) for x in table.column("hashes")]
+        # a block by itself, or one against another
+        found = links_of(hashes, table.column("root").to_numpy(), block if (block != block[0]).any() else None, similarity)
+        pairs = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in found}
+        return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+    cells = dealt.join(sets, "node").groupBy("key", "i", "j")
+    return cells.applyInArrow(compare, "a long, b long").distinct()
 
 
 def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:

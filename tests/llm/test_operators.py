@@ -313,11 +313,26 @@ def test_near_duplicates_around_a_middle_id(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == dict.fromkeys(range(300), 0)
 
 
-def test_every_two_of_a_key_meet_once(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PER_BLOCK", 3)
-    members = spark.createDataFrame([(k, n, n // 2) for k, size in ((1, 2), (2, 17)) for n in range(size)], "key long, node long, root long")
-    got = sorted((r.a, r.b) for r in simhash.across(members).collect())
-    assert got == sorted((a, b) for b in range(17) for a in range(b) if a // 2 != b // 2)
+def test_blocks_find_every_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PER_BLOCK", 6)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 32, 60)
+    sets = []
+    for i in range(70):
+        new = rng.integers(0, 1 << 32, rng.integers(0, 14))
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[: 60 - len(new)], new]).astype(np.uint32)))
+    sets += [np.zeros(0, np.uint32)] * 3
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
+    roots = [i // 2 if i < 40 else i for i in range(73)]
+    for side in (None, np.arange(73) % 2):
+        got = {(min(x), max(x)) for x in simhash.links_of(sets, np.array(roots), side, 0.8)}
+        want = {(i, j) for j in range(70) for i in range(j) if roots[i] != roots[j] and like(i, j) and (side is None or side[i] != side[j])}
+        assert {x for x in got if x[1] < 70} == want and len(want) > 20
+    members = spark.createDataFrame([(k, n, roots[n]) for k in (1, 2) for n in range(k - 1, 70)] + [(3, 70, 70), (3, 71, 71), (3, 72, 72)], "key long, node long, root long")
+    table = spark.createDataFrame([(n, [int(x) for x in h.view(np.int32)]) for n, h in enumerate(sets)], "node long, hashes array<int>")
+    got = {(r.a, r.b) for r in simhash.across(members, table, 0.8).collect()}
+    assert {x for x in got if x[1] < 70} == {(i, j) for j in range(70) for i in range(j) if roots[i] != roots[j] and like(i, j)}
+    assert closure(3, lambda i, j: (70 + j, 70 + i) in got) == [0, 0, 0] or {(70, 71), (70, 72)} <= got
 
 
 def test_band_keys_meet_as_often_as_the_similarity_says():
