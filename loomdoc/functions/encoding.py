@@ -9,7 +9,7 @@ few names that the standard maps elsewhere.
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -205,24 +205,38 @@ def decode_or_detect(raw: bytes) -> tuple[str, str]:
     return decode(raw, encoding), encoding
 
 
-def decode_stream(chunks: Iterator[bytes]) -> Iterator[str]:
-    """Chunks of one document decoded as they come, once enough is there to tell the encoding."""
-    held, decoder = b"", None
+class Decoder:
+    """Bytes of one document to text as they come, once enough is there to tell the encoding."""
+
+    def __init__(self) -> None:
+        self.held, self.encoding, self.codec = b"", None, None
+
+    def _begin(self) -> bytes:
+        raw, self.held = self.held, b""
+        self.encoding = detect(raw)
+        self.codec = codecs.getincrementaldecoder(codec_of(self.encoding))("html-replace")
+        return raw[bom_length(raw, self.encoding) :]
+
+    def feed(self, chunk: bytes) -> str:
+        if self.codec is None:
+            self.held += chunk
+            if len(self.held) < PRESCAN:
+                return ""
+            chunk = self._begin()
+        return self.codec.decode(chunk)
+
+    def finish(self) -> str:
+        rest = self._begin() if self.codec is None else b""
+        return self.codec.decode(rest, True)
+
+
+def decode_stream(chunks: Iterable[bytes]) -> Iterator[str]:
+    """Chunks of one document decoded as they come."""
+    decoder = Decoder()
     for chunk in chunks:
-        if decoder is None:
-            held += chunk
-            if len(held) < PRESCAN:
-                continue
-            encoding = detect(held)
-            decoder = codecs.getincrementaldecoder(codec_of(encoding))("html-replace")
-            chunk = held[bom_length(held, encoding) :]
-        if text := decoder.decode(chunk):
+        if text := decoder.feed(chunk):
             yield text
-    if decoder is None:
-        encoding = detect(held)
-        decoder = codecs.getincrementaldecoder(codec_of(encoding))("html-replace")
-        yield decoder.decode(held[bom_length(held, encoding) :], True)
-    elif text := decoder.decode(b"", True):
+    if text := decoder.finish():
         yield text
 
 

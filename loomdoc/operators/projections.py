@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_lower, lower_column
 
 
-def _named(name: str) -> Column:
-    return F.filter("attrs", lambda a: lower_column(a["name"]) == ascii_lower(name))
+def _named(name: str, attrs: str = "attrs") -> Column:
+    return F.filter(attrs, lambda a: lower_column(a["name"]) == ascii_lower(name))
 
 
-def attr(name: str) -> Column:
+def attr(name: str, attrs: str = "attrs") -> Column:
     """An attribute's value; null if it is missing or has none."""
-    return F.try_element_at(_named(name), F.lit(1))["value"]
+    return F.try_element_at(_named(name, attrs), F.lit(1))["value"]
 
 
 def has_attr(name: str) -> Column:

@@ -1,6 +1,7 @@
-"""CSS selectors as plans.
+"""CSS selectors: their grammar, and their plans over tables of nodes.
 
-A selector is parsed on the driver. Its compounds become row predicates over
+Nodes that were kept in a table are asked here; pages are asked by ``plans.inside``,
+which needs no shuffle. A selector is parsed on the driver. Its compounds become row predicates over
 element rows; its combinators become window functions that all use one shuffle by
 document: a descendant is a running maximum of matched intervals, a child looks
 at the last row one level up, siblings look back within their parent. Evaluation
@@ -235,6 +236,18 @@ def parse_single_selector(css: str) -> Branch:
     return branches[0]
 
 
+def compound_of(css: str) -> tuple[Part, ...]:
+    """The simple selectors of a selector that asks of a node and its attributes alone: no combinators, no places among siblings."""
+    branch = parse_single_selector(css)
+
+    def places(parts: tuple[Part, ...]) -> bool:
+        return any(p.kind in ("first", "last", "nth") or places(p.inner) for p in parts)
+
+    if branch.combinators or places(branch.compounds[0]):
+        raise SelectorError("a node alone can't tell its place")
+    return branch.compounds[0]
+
+
 def part_predicate(part: Part) -> Column:
     """What a simple selector asks of an element row; never null."""
     kind, name, value = part.kind, part.name, part.value
@@ -279,8 +292,8 @@ def elements(nodes: DataFrame) -> DataFrame:
 
 def related(rows: DataFrame, flag: str, combinator: str, out: str) -> DataFrame:
     """rows with column out: whether the combinator leads to the row from one whose flag is set."""
-    document = Window.partitionBy("doc_id").orderBy("pre")
-    siblings = Window.partitionBy("doc_id", "parent").orderBy("pre")
+    document = Window.partitionBy("doc").orderBy("pre")
+    siblings = Window.partitionBy("doc", "parent").orderBy("pre")
     before = (Window.unboundedPreceding, -1)
     if combinator == " ":
         reach = F.max(F.when(F.col(flag), F.col("subtree_end"))).over(document.rowsBetween(*before))
@@ -292,7 +305,7 @@ def related(rows: DataFrame, flag: str, combinator: str, out: str) -> DataFrame:
     # Each row twice: as a parent at its level, as a child one level up. A child's parent is the last row of that level before it.
     role, level = f"{out}_role", f"{out}_level"
     twice = rows.withColumn(role, F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(level, F.col("depth") - F.col(role))
-    levels = Window.partitionBy("doc_id", level).orderBy("pre")
+    levels = Window.partitionBy("doc", level).orderBy("pre")
     last = F.last(F.when(F.col(role) == 0, F.struct("pre", F.col(flag).alias("hit"))), ignorenulls=True).over(levels.rowsBetween(*before))
     twice = twice.withColumn(out, last).where(F.col(role) == 1).drop(role, level)
     return twice.withColumn(out, F.coalesce((F.col(f"{out}.pre") == F.col("parent")) & F.col(f"{out}.hit"), F.lit(False)))
@@ -313,7 +326,7 @@ def flagged(nodes: DataFrame, css: str, out: str = "matched") -> DataFrame:
 
 
 def select(nodes: DataFrame, css: str) -> DataFrame:
-    """The element rows that match; document order is (doc_id, pre)."""
+    """The element rows that match; document order is (doc, pre)."""
     branches = parse_selector(css)
     if all(not b.combinators for b in branches):  # row predicates alone: no shuffle
         return elements(nodes).where(reduce(lambda a, b: a | b, (compound_predicate(b.compounds[0]) for b in branches)))
@@ -327,14 +340,14 @@ def select_first(nodes: DataFrame, css: str) -> DataFrame:
 
 def first_per_document(rows: DataFrame) -> DataFrame:
     names = rows.columns
-    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*names), "pre").alias("first")).select("first.*")
+    return rows.groupBy("doc").agg(F.min_by(F.struct(*names), "pre").alias("first")).select("first.*")
 
 
 def select_within(nodes: DataFrame, roots: DataFrame, css: str) -> DataFrame:
-    """Matches among the roots (doc_id, pre) and what is below them. Ancestors that a selector asks for may be outside."""
-    marks = roots.select("doc_id", "pre").distinct().withColumn("is_root", F.lit(True))
-    rows = flagged(nodes, css).join(marks, ["doc_id", "pre"], "left")
-    window = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    """Matches among the roots (doc, pre) and what is below them. Ancestors that a selector asks for may be outside."""
+    marks = roots.select("doc", "pre").distinct().withColumn("is_root", F.lit(True))
+    rows = flagged(nodes, css).join(marks, ["doc", "pre"], "left")
+    window = Window.partitionBy("doc").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max(F.when(F.col("is_root"), F.col("subtree_end"))).over(window)
     return rows.withColumn("covered", reach >= F.col("pre")).where("matched and covered").drop("matched", "covered", "is_root")
 
@@ -344,7 +357,7 @@ def select_within(nodes: DataFrame, roots: DataFrame, css: str) -> DataFrame:
 
 def find_by_tag(nodes: DataFrame, tag: str | None) -> DataFrame:
     """Elements of a name; None: all whose name isn't a known one."""
-    from ..sources.dom import KNOWN
+    from ..sources.tree import KNOWN
 
     if tag is None:
         return elements(nodes).where(~F.col("tag").isin(*sorted(KNOWN)))
@@ -367,13 +380,13 @@ def document_index(nodes: DataFrame) -> dict[str, DataFrame]:
     """Tables by which ids, classes and tags are looked up: first node of an id, nodes of a class, nodes of a tag."""
     rows = elements(nodes)
     return {
-        "ids": rows.where("id is not null").groupBy("doc_id", "id").agg(F.min("pre").alias("pre")),
-        "classes": rows.select("doc_id", F.explode(F.array_distinct("classes")).alias("class"), "pre"),
-        "tags": rows.select("doc_id", "tag", "pre"),
+        "ids": rows.where("id is not null").groupBy("doc", "doc_id", "id").agg(F.min("pre").alias("pre")),
+        "classes": rows.select("doc", "doc_id", F.explode(F.array_distinct("classes")).alias("class"), "pre"),
+        "tags": rows.select("doc", "doc_id", "tag", "pre"),
     }
 
 
 def selection_summary(selected: DataFrame) -> DataFrame:
     """Per document: how many nodes a selection has, their texts one after another, its first node. Needs text_content."""
     ordered = F.array_sort(F.collect_list(F.struct("pre", "text_content")))
-    return selected.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ordered, lambda x: x["text_content"]), "").alias("text"), F.min("pre").alias("first_pre"))
+    return selected.groupBy("doc", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(ordered, lambda x: x["text_content"]), "").alias("text"), F.min("pre").alias("first_pre"))

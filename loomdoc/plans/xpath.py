@@ -1,4 +1,4 @@
-"""A subset of XPath 1.0 as plans over node rows.
+"""A subset of XPath 1.0: its grammar, and its plans over tables of nodes; pages are asked by ``plans.inside``.
 
     //name  //name[pred]  //*  //*[@a]  //*[@a='v']  /a/b[pred]/c  ..
     and /text() after any of those but ..
@@ -134,23 +134,23 @@ def _under(nodes: DataFrame, contexts: DataFrame | None) -> DataFrame:
     """nodes with ctx: whether a row is a context (without contexts: the root), and covered: whether it is at or below one."""
     if contexts is None:
         return nodes.withColumn("ctx", F.col("parent").isNull()).withColumn("covered", F.lit(True))
-    marks = contexts.select("doc_id", "pre").distinct().withColumn("ctx", F.lit(True))
-    rows = nodes.join(marks, ["doc_id", "pre"], "left").withColumn("ctx", F.coalesce("ctx", F.lit(False)))
-    window = Window.partitionBy("doc_id").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+    marks = contexts.select("doc", "pre").distinct().withColumn("ctx", F.lit(True))
+    rows = nodes.join(marks, ["doc", "pre"], "left").withColumn("ctx", F.coalesce("ctx", F.lit(False)))
+    window = Window.partitionBy("doc").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("covered", F.coalesce(F.max(F.when(F.col("ctx"), F.col("subtree_end"))).over(window) >= F.col("pre"), F.lit(False)))
 
 
 def xpath(nodes: DataFrame, expression: str, contexts: DataFrame | None = None) -> DataFrame:
-    """The node rows that an expression finds from each document's root or from contexts (doc_id, pre), once each.
-    With /text(), the text nodes right under them: their strings are in column text. Order is (doc_id, pre)."""
+    """The node rows that an expression finds from each document's root or from contexts (doc, pre), once each.
+    With /text(), the text nodes right under them: their strings are in column text. Order is (doc, pre)."""
     e = parse_xpath(expression)
     columns = nodes.columns
     if e.axis == "parent":
         if contexts is None:
             return nodes.where(F.lit(False))
-        own = nodes.join(contexts.select("doc_id", "pre").distinct(), ["doc_id", "pre"], "left_semi")
-        up = own.where("parent is not null").select("doc_id", F.col("parent").alias("pre")).distinct()
-        return nodes.join(up, ["doc_id", "pre"], "left_semi")
+        own = nodes.join(contexts.select("doc", "pre").distinct(), ["doc", "pre"], "left_semi")
+        up = own.where("parent is not null").select("doc", F.col("parent").alias("pre")).distinct()
+        return nodes.join(up, ["doc", "pre"], "left_semi")
     if e.axis == "descendant" and contexts is None and not e.text:
         return nodes.where(step_predicate(e.steps[0]))
     rows = _under(nodes, contexts)

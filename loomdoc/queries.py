@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from .functions.encoding import detect_encoding, html_decode
 from .functions.entities import C1, html_escape, html_escape_attribute, html_named, html_unescape, numeric_reference
-from .operators import axes
 from .operators.projections import attr, attr_or_empty, describe, has_children
 from .plans import css
-from .plans.xpath import xpath
+from .plans.inside import Path, find, summaries
 from .sources import dom
 from .streaming import chunks, early
 
@@ -42,6 +41,11 @@ def page_nodes(spark: SparkSession, sf_dir: str, **wanted) -> DataFrame:
     return dom.parse_html(table(spark, sf_dir, "pages"), **wanted)
 
 
+def found(spark: SparkSession, sf_dir: str, path: Path, *columns: str, **options) -> DataFrame:
+    """What a path finds in the pages: one pass, no shuffle."""
+    return find(table(spark, sf_dir, "pages"), path, columns, **options)
+
+
 def page_id() -> Column:
     return F.col("doc_id").alias("page_id")
 
@@ -75,12 +79,16 @@ def links_where(condition: str, columns: str = "page_id, href, text") -> str:
     return f"WITH {LINKS} SELECT {columns} FROM l WHERE {condition}"
 
 
+LINK = ("attrs", "text_content")
+
+
 def anchors(rows: DataFrame) -> DataFrame:
     return rows.select(page_id(), attr("href").alias("href"), F.col("text_content").alias("text"))
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(page_id()).agg(big("n"))
+def counts(spark: SparkSession, sf_dir: str, path: Path) -> DataFrame:
+    """How many nodes a path finds in each page, where it finds any."""
+    return summaries(table(spark, sf_dir, "pages"), path, strings=False).where("n > 0").select(page_id(), "n")
 
 
 def per_page(sql: str) -> str:
@@ -97,13 +105,13 @@ def count_of(pattern: str, source: str = "pages") -> str:
 
 @query("links", links_where("true"))
 def links(spark, sf_dir):
-    return anchors(css.select(page_nodes(spark, sf_dir, text_content=True), "nav li a[href]"))
+    return anchors(found(spark, sf_dir, Path().select("nav li a[href]"), *LINK))
 
 
 def _text_query(name: str, selector: str, pattern: str) -> None:
     @query(name, f"SELECT page_id, {dec(f'regexp_extract(html, {pattern!r}, 1, {chr(39)}s{chr(39)})')} AS value FROM pages")
     def run(spark, sf_dir):
-        return css.select(page_nodes(spark, sf_dir, text_content=True), selector).select(page_id(), F.col("text_content").alias("value"))
+        return found(spark, sf_dir, Path().select(selector), "text_content").select(page_id(), F.col("text_content").alias("value"))
 
 
 _text_query("title", "title", "<title>(.*?)</title>")
@@ -114,13 +122,13 @@ _text_query("ad_text", "div.ad", '<div class="ad">(.*?)</div>')
 
 @query("paragraph_text", f"WITH {PARAGRAPHS} SELECT page_id, n::BIGINT AS n, text FROM p")
 def paragraph_text(spark, sf_dir):
-    rows = css.select(page_nodes(spark, sf_dir, text_content=True), "article p")
+    rows = found(spark, sf_dir, Path().select("article p"), "type_index", "text_content")
     return rows.select(page_id(), F.col("type_index").cast("long").alias("n"), F.col("text_content").alias("text"))
 
 
 @query("tag_histogram", f"WITH {BARE} SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM b) GROUP BY tag")
 def tag_histogram(spark, sf_dir):
-    return css.elements(page_nodes(spark, sf_dir)).groupBy("tag").agg(big("n"))
+    return found(spark, sf_dir, Path().select("*"), "tag").groupBy("tag").agg(big("n"))
 
 
 _KINDS = f"""WITH {BARE}, k AS (
@@ -130,7 +138,7 @@ _KINDS = f"""WITH {BARE}, k AS (
 
 @query("node_kind_counts", f"{_KINDS} SELECT kind, sum(n)::BIGINT AS n FROM k GROUP BY kind")
 def node_kind_counts(spark, sf_dir):
-    return page_nodes(spark, sf_dir).groupBy("kind").agg(big("n"))
+    return found(spark, sf_dir, Path().all(), "kind").groupBy("kind").agg(big("n"))
 
 
 @query("node_count", f"WITH {BARE} SELECT page_id, (1 + len(regexp_extract_all(html, '<[a-z!]')) + len(regexp_extract_all(html, '>[^<]+')))::BIGINT AS n FROM b")
@@ -141,7 +149,7 @@ def node_count(spark, sf_dir):
 def _count_query(name: str, selector: str, sql: str) -> None:
     @query(name, sql)
     def run(spark, sf_dir):
-        return counts(css.select(page_nodes(spark, sf_dir), selector))
+        return counts(spark, sf_dir, Path().select(selector))
 
 
 _count_query("child", "ul > li", count_of("<li>"))
@@ -155,13 +163,13 @@ _count_query("no_match", "table td, nav p", "SELECT page_id, 0::BIGINT AS n FROM
 
 @query("adjacent", f"WITH {PARAGRAPHS} SELECT page_id, text FROM p WHERE n = 1")
 def adjacent(spark, sf_dir):
-    return css.select(page_nodes(spark, sf_dir, text_content=True), "h1 + p").select(page_id(), F.col("text_content").alias("text"))
+    return found(spark, sf_dir, Path().select("h1 + p"), "text_content").select(page_id(), F.col("text_content").alias("text"))
 
 
 def _item_query(name: str, selector: str, condition: str) -> None:
     @query(name, links_where(condition, "page_id, text"))
     def run(spark, sf_dir):
-        return css.select(page_nodes(spark, sf_dir, text_content=True), selector).select(page_id(), F.col("text_content").alias("text"))
+        return found(spark, sf_dir, Path().select(selector), "text_content").select(page_id(), F.col("text_content").alias("text"))
 
 
 _item_query("nth_odd", "li:nth-child(odd)", "n % 2 = 1")
@@ -174,7 +182,7 @@ _item_query("not_first", "li:not(:first-child)", "n > 1")
 def _attr_query(name: str, selector: str, condition: str) -> None:
     @query(name, links_where(condition))
     def run(spark, sf_dir):
-        return anchors(css.select(page_nodes(spark, sf_dir, text_content=True), selector))
+        return anchors(found(spark, sf_dir, Path().select(selector), *LINK))
 
 
 _attr_query("attr_eq", 'a[href="/de"]', "href = '/de'")
@@ -189,44 +197,42 @@ _count_query("selector_list", "h1, title, nav a, a", per_page("SELECT page_id, (
 
 @query("select_first_link", links_where("n = 1"))
 def select_first_link(spark, sf_dir):
-    return anchors(css.select_first(page_nodes(spark, sf_dir, text_content=True), "a"))
+    return anchors(found(spark, sf_dir, Path().select("a").first(), *LINK))
 
 
 @query("scoped_select", links_where("true"))
 def scoped_select(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir, text_content=True)
-    return anchors(css.select_within(nodes, css.select(nodes, "ul"), "body li > a"))
+    return anchors(found(spark, sf_dir, Path().select("ul").select("body li > a"), *LINK))
 
 
 @query("selection_summary", f"WITH {LINKS} SELECT page_id, count(*) AS n, string_agg(text, '' ORDER BY n) AS text FROM l GROUP BY page_id")
 def selection_summary(spark, sf_dir):
-    rows = css.select(page_nodes(spark, sf_dir, text_content=True), "a")
-    return css.selection_summary(rows).select(page_id(), "n", "text")
+    return summaries(table(spark, sf_dir, "pages"), Path().select("a")).where("n > 0").select(page_id(), "n", "text")
 
 
 @query("find_by_tag", count_of("<p>"))
 def find_by_tag(spark, sf_dir):
-    return counts(css.find_by_tag(page_nodes(spark, sf_dir), "P"))
+    return counts(spark, sf_dir, Path().by_tag("P"))
 
 
 @query("find_by_class", count_of('class="ad"'))
 def find_by_class(spark, sf_dir):
-    return counts(css.find_by_class(page_nodes(spark, sf_dir), "ad"))
+    return counts(spark, sf_dir, Path().by_class("ad"))
 
 
 @query("find_by_attr", count_of('lang="en"'))
 def find_by_attr(spark, sf_dir):
-    return counts(css.find_by_attr(page_nodes(spark, sf_dir), "LANG", "en"))
+    return counts(spark, sf_dir, Path().by_attr("LANG", "en"))
 
 
 @query("find_by_id", "SELECT page_id, 0::BIGINT AS n FROM pages WHERE false")
 def find_by_id(spark, sf_dir):
-    return counts(css.find_by_id(page_nodes(spark, sf_dir), "main"))
+    return counts(spark, sf_dir, Path().by_id("main"))
 
 
 @query("find_unknown", "SELECT page_id, 0::BIGINT AS n FROM pages WHERE false")
 def find_unknown(spark, sf_dir):
-    return counts(css.find_by_tag(page_nodes(spark, sf_dir), None).where("tag not in ('title', 'meta')"))
+    return counts(spark, sf_dir, Path().by_tag(None))
 
 
 @query("document_index", f"WITH {BARE} SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM b) GROUP BY ALL")
@@ -245,7 +251,7 @@ def top_tags(spark, sf_dir):
 def _xpath_query(name: str, expression: str, condition: str) -> None:
     @query(name, links_where(condition))
     def run(spark, sf_dir):
-        return anchors(xpath(page_nodes(spark, sf_dir, text_content=True), expression))
+        return anchors(found(spark, sf_dir, Path().xpath(expression), *LINK))
 
 
 _xpath_query("xpath_desc", "//A", "true")
@@ -258,29 +264,27 @@ _xpath_query("xpath_abs", "/html/body/nav/ul/li[position()=2]/a", "n = 2")
 
 @query("xpath_pos", links_where("n = 1", "page_id, text"))
 def xpath_pos(spark, sf_dir):
-    return xpath(page_nodes(spark, sf_dir, text_content=True), "//li[1]").select(page_id(), F.col("text_content").alias("text"))
+    return found(spark, sf_dir, Path().xpath("//li[1]"), "text_content").select(page_id(), F.col("text_content").alias("text"))
 
 
 @query("xpath_text", f"WITH {PARAGRAPHS} SELECT page_id, text FROM p WHERE NOT bold AND text <> ''")
 def xpath_text(spark, sf_dir):
-    return xpath(page_nodes(spark, sf_dir), "//p/text()").select(page_id(), "text")
+    return found(spark, sf_dir, Path().xpath("//p/text()"), "text").select(page_id(), "text")
 
 
 @query("xpath_abs_text", f"SELECT page_id, {dec('''regexp_extract(html, '<title>(.*?)</title>', 1, 's')''')} AS text FROM pages")
 def xpath_abs_text(spark, sf_dir):
-    return xpath(page_nodes(spark, sf_dir), "/html/head/title/text()").select(page_id(), "text")
+    return found(spark, sf_dir, Path().xpath("/html/head/title/text()"), "text").select(page_id(), "text")
 
 
 @query("xpath_parent", "SELECT page_id, 'ul' AS tag FROM pages WHERE contains(html, '<li>')")
 def xpath_parent(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir)
-    return xpath(nodes, "..", css.select(nodes, "li")).select(page_id(), "tag")
+    return found(spark, sf_dir, Path().select("li").xpath(".."), "tag").select(page_id(), "tag")
 
 
 @query("xpath_in_selection", links_where("n = 1"))
 def xpath_in_selection(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir, text_content=True)
-    return anchors(xpath(nodes, "/li[1]/a", css.select(nodes, "ul")))
+    return anchors(found(spark, sf_dir, Path().select("ul").xpath("/li[1]/a"), *LINK))
 
 
 # Axes
@@ -288,50 +292,48 @@ def xpath_in_selection(spark, sf_dir):
 
 @query("ancestors_depth", links_where("true", "page_id, href, 6::BIGINT AS n"))
 def ancestors_depth(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir)
-    found = axes.ancestors(nodes, css.select(nodes, "a")).groupBy("doc_id", F.col("ctx").alias("pre")).agg(big("n"))
-    return found.join(nodes.select("doc_id", "pre", attr("href").alias("href")), ["doc_id", "pre"]).select(page_id(), "href", "n")
+    rows = found(spark, sf_dir, Path().select("a").axis("ancestors"), "parent", ctx_columns=("attrs",))
+    # the root is the last of them: its place says how many there are
+    return rows.where("parent is null").select(page_id(), attr("href", "ctx_attrs").alias("href"), (F.col("place") + 1).cast("long").alias("n"))
 
 
 @query("children", "SELECT page_id, unnest(['element', 'comment', 'element', 'element', 'element']) AS kind, unnest(['nav', NULL, 'div', 'article', 'footer']) AS tag FROM pages")
 def children(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir)
-    return axes.children(nodes, css.select(nodes, "body")).select(page_id(), "kind", "tag")
+    return found(spark, sf_dir, Path().select("body").axis("children"), "kind", "tag").select(page_id(), "kind", "tag")
 
 
 @query("siblings", "SELECT page_id, unnest(['comment', 'element', 'element', 'element']) AS kind, unnest([NULL, 'div', 'article', 'footer']) AS tag FROM pages")
 def siblings(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir)
-    return axes.siblings(nodes, css.select(nodes, "nav")).select(page_id(), "kind", "tag")
+    return found(spark, sf_dir, Path().select("nav").axis("siblings"), "kind", "tag").select(page_id(), "kind", "tag")
 
 
 @query("parents", count_of('<a href="'))
 def parents(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir)
-    return counts(axes.parent(nodes, css.select(nodes, "a")).where("tag = 'li'"))
+    return counts(spark, sf_dir, Path().select("a").axis("parent").by_tag("li"))
 
 
 @query("descendants", per_page("SELECT page_id, (2 + 3 * len(regexp_extract_all(html, '<li>')))::BIGINT AS n FROM pages"))
 def descendants(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir)
-    return counts(axes.descendants(nodes, css.select(nodes, "nav")))
+    return counts(spark, sf_dir, Path().select("nav").axis("descendants"))
 
 
 @query("bfs_order", links_where("true", "page_id, text, (1 + of + n)::BIGINT AS place"))
 def bfs_order(spark, sf_dir):
-    nodes = page_nodes(spark, sf_dir, text_content=True)
-    found = axes.descendants_bfs(nodes, css.select(nodes, "nav")).where("tag = 'a'")
-    return found.select(page_id(), F.col("text_content").alias("text"), F.col("bfs").cast("long").alias("place"))
+    rows = found(spark, sf_dir, Path().select("nav").axis("descendants_bfs").by_tag("a"), "text_content")
+    return rows.select(page_id(), F.col("text_content").alias("text"), F.col("place").cast("long").alias("place"))
 
 
-@query("neighbours", "SELECT page_id, 'div' AS next_tag, NULL::VARCHAR AS prev_tag FROM pages WHERE false UNION ALL SELECT page_id, 'article', 'comment' FROM pages")
+@query("neighbours", "SELECT page_id, 'nav' AS tag, 'ul' AS first_tag, 'body' AS up_tag, 'comment' AS next_tag, NULL::VARCHAR AS prev_tag FROM pages UNION ALL SELECT page_id, 'div', 'text', 'body', 'article', 'comment' FROM pages")
 def neighbours(spark, sf_dir):
-    rows = axes.neighbours(page_nodes(spark, sf_dir))
-    name = rows.select("doc_id", "pre", F.coalesce("tag", "kind").alias("name"))
-    ad = rows.where("tag = 'div'").select("doc_id", "next_sibling", "prev_sibling")
-    nxt = name.select("doc_id", F.col("pre").alias("next_sibling"), F.col("name").alias("next_tag"))
-    prev = name.select("doc_id", F.col("pre").alias("prev_sibling"), F.col("name").alias("prev_tag"))
-    return ad.join(nxt, ["doc_id", "next_sibling"]).join(prev, ["doc_id", "prev_sibling"]).select(page_id(), "next_tag", "prev_tag")
+    from functools import reduce
+
+    def one(name: str, alias: str) -> DataFrame:
+        rows = found(spark, sf_dir, Path().select("nav, div").axis(name), "kind", "tag", ctx_columns=("tag",))
+        return rows.select("doc_id", F.col("ctx_tag").alias("tag"), F.lit(alias).alias("which"), F.coalesce("tag", "kind").alias("name"))
+
+    names = {"first_child": "first_tag", "parent": "up_tag", "next_sibling": "next_tag", "prev_sibling": "prev_tag"}
+    rows = reduce(DataFrame.unionByName, (one(k, v) for k, v in names.items()))
+    return rows.groupBy(page_id(), "tag").agg(*[F.max(F.when(F.col("which") == v, F.col("name"))).alias(v) for v in names.values()])
 
 
 # Serialization and node projections
@@ -339,12 +341,12 @@ def neighbours(spark, sf_dir):
 
 @query("outer_html_ad", f"""SELECT page_id, {markup('''regexp_extract(html, '<div class="ad">.*?</div>', 0, 's')''')} AS value FROM pages""")
 def outer_html_ad(spark, sf_dir):
-    return css.select(page_nodes(spark, sf_dir, outer_html=True), ".ad").select(page_id(), F.col("outer_html").alias("value"))
+    return found(spark, sf_dir, Path().select(".ad"), "outer_html").select(page_id(), F.col("outer_html").alias("value"))
 
 
 @query("inner_html_nav", f"SELECT page_id, {markup('''regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')''')} AS value FROM pages")
 def inner_html_nav(spark, sf_dir):
-    return css.select(page_nodes(spark, sf_dir, inner_html=True), "nav").select(page_id(), F.col("inner_html").alias("value"))
+    return found(spark, sf_dir, Path().select("nav"), "inner_html").select(page_id(), F.col("inner_html").alias("value"))
 
 
 _PARTS = """q0 AS (SELECT page_id, html, string_split(regexp_extract(html, '</h1>(.*)</article>', 1, 's'), '<p>') AS parts FROM pages),
@@ -364,18 +366,19 @@ def document_text_length(spark, sf_dir):
 
 @query("attrs_exploded", f"WITH {LINKS} SELECT page_id, 'href' AS name, href AS value FROM l UNION ALL SELECT page_id, 'lang', regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) FROM pages UNION ALL SELECT page_id, 'charset', 'utf-8' FROM pages UNION ALL SELECT page_id, 'class', 'ad' FROM pages")
 def attrs_exploded(spark, sf_dir):
-    rows = page_nodes(spark, sf_dir).select(page_id(), F.explode("attrs").alias("a"))
+    rows = found(spark, sf_dir, Path().all(), "attrs").select(page_id(), F.explode("attrs").alias("a"))
     return rows.select("page_id", F.col("a.name").alias("name"), F.col("a.value").alias("value"))
 
 
 @query("leaf_elements", per_page("SELECT page_id, (1 + len(regexp_extract_all(html, '<br>')))::BIGINT AS n FROM pages"))
 def leaf_elements(spark, sf_dir):
-    return counts(css.elements(page_nodes(spark, sf_dir)).where("is_void").where(~has_children()))
+    rows = found(spark, sf_dir, Path().select("*"), "pre", "subtree_end", "is_void").where("is_void").where(~has_children())
+    return rows.groupBy(page_id()).agg(big("n"))
 
 
 @query("describe_comments", "SELECT page_id, '#comment' AS kind, regexp_extract(html, '<!--(.*?)-->', 1, 's') AS text FROM pages")
 def describe_comments(spark, sf_dir):
-    rows = page_nodes(spark, sf_dir).where("kind = 'comment'")
+    rows = found(spark, sf_dir, Path().all(), "pre", "depth", "kind", "tag", "text").where("kind = 'comment'")
     return rows.select(page_id(), F.substring_index(describe(), " ", 1).alias("kind"), "text")
 
 
@@ -449,7 +452,7 @@ def decode_bytes(spark, sf_dir):
 
 @query("parse_bytes", links_where("true"))
 def parse_bytes(spark, sf_dir):
-    return anchors(css.select(dom.parse_html(raw_pages(spark, sf_dir), html_col="raw", text_content=True), "a"))
+    return anchors(find(raw_pages(spark, sf_dir), Path().select("a"), LINK, html_col="raw"))
 
 
 @query("too_large", "SELECT page_id, strlen(html) > 2000 AS too_large FROM pages")
@@ -460,8 +463,28 @@ def too_large(spark, sf_dir):
 
 @query("stream_chunks", links_where("true"))
 def stream_chunks(spark, sf_dir):
-    parsed = chunks.parse_chunks(chunks.chunked(raw_pages(spark, sf_dir), 64))
-    return anchors(css.select(dom.nodes(parsed, text_content=True), "a"))
+    whole = chunks.assemble(chunks.chunked(raw_pages(spark, sf_dir), 64))
+    return anchors(find(whole, Path().select("a"), LINK, "doc_id", "raw"))
+
+
+@query("stream_links", links_where("true"))
+def stream_links(spark, sf_dir):
+    """A stream of chunks, put together as state and asked like any pages, until what is there is read."""
+    from .streaming.files import run_available
+
+    def links_of(stream: DataFrame) -> DataFrame:
+        return anchors(find(chunks.assemble_stream(stream, ttl_ms=None), Path().select("a"), LINK, "doc_id", "raw"))
+
+    return run_available(chunks.chunked(raw_pages(spark, sf_dir), 2048), links_of)
+
+
+@query("decoded_chunks", "SELECT page_id, md5(html) AS digest FROM pages")
+def decoded_chunks(spark, sf_dir):
+    from .streaming.incremental import decode_chunks
+
+    rows = decode_chunks(chunks.chunked(raw_pages(spark, sf_dir), 100))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    return rows.groupBy(page_id()).agg(F.md5(text).alias("digest"))
 
 
 @query("early_stop_first_article", "SELECT page_id, true AS matched, strpos(html, '<article>') + 8 AS consumed FROM pages")
@@ -478,7 +501,147 @@ def early_stop_heading(spark, sf_dir):
 
 @query("lang_of_pages", "SELECT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, count(*) AS n FROM pages GROUP BY lang")
 def lang_of_pages(spark, sf_dir):
-    return css.select(page_nodes(spark, sf_dir), "html").groupBy(attr_or_empty("lang").alias("lang")).agg(big("n"))
+    return found(spark, sf_dir, Path().select("html"), "attrs").groupBy(attr_or_empty("lang").alias("lang")).agg(big("n"))
+
+
+# What no page of the tables has: markup made of a table's values, and what must become of it
+
+
+def made(spark: SparkSession, sf_dir: str, html: str) -> DataFrame:
+    """(page_id, html) for each nation; html is SQL over k, its key, and name."""
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey AS k", "n_name AS name").selectExpr("cast(k AS bigint) AS page_id", f"{html} AS html")
+
+
+def _repair_query(name: str, html: str, becomes: str) -> None:
+    """html and becomes: patterns in which {k} and {n} stand for a nation's key and name."""
+
+    def sql(pattern: str) -> str:
+        return "replace(replace('" + pattern.replace("'", "''") + "', '{k}', cast(k AS varchar(9))), '{n}', name)"
+
+    @query(name, f"SELECT k::BIGINT AS page_id, {sql(becomes)} AS value FROM (SELECT n_nationkey AS k, n_name AS name FROM nation)".replace("\\n", "' || chr(10) || '"))
+    def run(spark, sf_dir):
+        pages = made(spark, sf_dir, sql(html).replace("\\n", "' || chr(10) || '").replace("varchar(9)", "string"))
+        return dom.parse(pages).select(page_id(), F.col("doc_html").alias("value"))
+
+
+_repair_query("repair_rows", "<table>{n}<td>{k}<th>h<tr><td>2</table>", "{n}<table><tbody><tr><td>{k}</td><th>h</th></tr><tr><td>2</td></tr></tbody></table>")
+_repair_query("repair_columns", "<table><col width={k}><thead><tr><td>{n}<tfoot><tr><td>f</table>", '<table><colgroup><col width="{k}"></colgroup><thead><tr><td>{n}</td></tr></thead><tfoot><tr><td>f</td></tr></tfoot></table>')
+_repair_query("foster_elements", "<section><table><em>{n}</em><tr><td>{k}</table></section>", "<section><em>{n}</em><table><tbody><tr><td>{k}</td></tr></tbody></table></section>")
+_repair_query("select_filter", "<select><em>{n}</em><optgroup><option>{k}<option>2<optgroup></select>", "<select>{n}<optgroup><option>{k}</option><option>2</option></optgroup><optgroup></optgroup></select>")
+_repair_query("adoption", "<i>{n}<section>{k}</i>tail</section>", "<i>{n}</i><section><i>{k}</i>tail</section>")
+_repair_query("implied_closes", "<ol><li>{n}<li>{k}</ol><dl><dt>a<dd>b</dl><h4>{n}<h5>{k}", "<ol><li>{n}</li><li>{k}</li></ol><dl><dt>a</dt><dd>b</dd></dl><h4>{n}</h4><h5>{k}</h5>")
+_repair_query("script_escapes", "<script>if(a<b)<!--<script>{n}</script>{k}--></script><u>{k}", "<script>if(a<b)<!--<script>{n}</script>{k}--></script><u>{k}</u>")
+_repair_query("bogus_and_cdata", "{n}<![CDATA[<{k}>]]></ x><?pi {k}><!y>", "{n}&lt;{k}&gt;<!-- x--><!--?pi {k}--><!--y-->")
+_repair_query("first_attribute", "<q TITLE={n} title=no data-k='{k}' data-K lang>t</q>", '<q TITLE="{n}" data-k="{k}" lang>t</q>')
+_repair_query("leading_newline", "<pre>\\n{n}\\n</pre><p>\\n{k}", "<pre>{n}\\n</pre><p>\\n{k}</p>")
+_repair_query("after_body", "<html><body>{n}</body><!--{k}--></html><!--e-->", "<html><body>{n}</body><!--{k}--></html><!--e-->")
+_repair_query("table_veto", "<select><style></select><b>{n}</b></style>{k}", "<select></select><b>{n}</b>{k}")
+
+
+@query("depth_cap", "SELECT n_nationkey::BIGINT AS page_id, (500 + n_nationkey + 1)::BIGINT AS n, least(500 + n_nationkey, 513)::BIGINT AS deepest FROM nation")
+def depth_cap(spark, sf_dir):
+    rows = find(made(spark, sf_dir, "repeat('<div>', 500 + k)"), Path().all(), ("depth",))
+    return rows.groupBy(page_id()).agg(big("n"), F.max("depth").cast("long").alias("deepest"))
+
+
+@query("custom_elements", "SELECT n_nationkey::BIGINT AS page_id, 'x-' || lower(n_name) AS tag, 'X-' || n_name AS name_src, n_nationkey::VARCHAR AS text FROM nation")
+def custom_elements(spark, sf_dir):
+    rows = find(made(spark, sf_dir, "'<p>a</p><X-' || name || '>' || k || '</x-' || name || '>'"), Path().by_tag(None), ("tag", "name_src", "text_content"))
+    return rows.select(page_id(), "tag", "name_src", F.col("text_content").alias("text"))
+
+
+_IDS = "'<div id=a><p id=n' || k || '>' || name || '</p><p id=n' || k || '>again</p></div><p id=N' || k || '>other'"
+
+
+@query("ids", "SELECT n_nationkey::BIGINT AS page_id, n_name AS text FROM nation WHERE n_nationkey = 7")
+def ids(spark, sf_dir):
+    return find(made(spark, sf_dir, _IDS), Path().by_id("n7"), ("text_content",)).select(page_id(), F.col("text_content").alias("text"))
+
+
+@query("id_selector", "SELECT n_nationkey::BIGINT AS page_id, unnest([n_name, 'again']) AS text FROM nation WHERE n_nationkey = 7")
+def id_selector(spark, sf_dir):
+    return find(made(spark, sf_dir, _IDS), Path().select("#a > p#n7"), ("text_content",)).select(page_id(), F.col("text_content").alias("text"))
+
+
+@query("document_ids", "SELECT n_nationkey::BIGINT AS page_id, unnest(['a', 'n' || n_nationkey, 'N' || n_nationkey]) AS id, unnest([1, 2, 6])::INTEGER AS pre FROM nation")
+def document_ids(spark, sf_dir):
+    return css.document_index(dom.parse_html(made(spark, sf_dir, _IDS)))["ids"].select(page_id(), "id", "pre")
+
+
+@query("first_of_selection", "SELECT n_nationkey::BIGINT AS page_id, 2::BIGINT AS n, n_name || 'again' AS text, n_name AS inner_html, 'n' || n_nationkey AS id FROM nation")
+def first_of_selection(spark, sf_dir):
+    rows = summaries(made(spark, sf_dir, _IDS), Path().select("div p"))
+    return rows.select(page_id(), "n", "text", F.col("first_inner_html").alias("inner_html"), attr("id", "first_attrs").alias("id"))
+
+
+@query("result_kinds", "SELECT n_nationkey::BIGINT AS page_id, unnest(['nodes', 'strings', 'nodes']) AS kind, unnest([3, 3, 0])::BIGINT AS n FROM nation")
+def result_kinds(spark, sf_dir):
+    from functools import reduce
+
+    pages = made(spark, sf_dir, _IDS)
+    rows = (summaries(pages, Path().xpath(x), strings=False).select(page_id(), "kind", "n") for x in ("//p", "//p/text()", "//table"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("repeated_ids", "SELECT n_regionkey::BIGINT AS page_id, count(*) AS n FROM nation GROUP BY n_regionkey")
+def repeated_ids(spark, sf_dir):
+    """Documents that share an id stay documents of their own: each has its own list."""
+    rows = table(spark, sf_dir, "nation").selectExpr("cast(n_regionkey AS bigint) AS page_id", "'<ul><li>' || n_name || '</li></ul>' AS html")
+    return css.select(dom.parse_html(rows), "ul > li:first-child").groupBy(page_id()).agg(big("n"))
+
+
+@query("ids_of_any_type", "SELECT CASE WHEN n_regionkey > 0 THEN n_name END AS page_id, count(*) AS n FROM nation GROUP BY ALL")
+def ids_of_any_type(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").selectExpr("CASE WHEN n_regionkey > 0 THEN n_name END AS page_id", "'<p>' || n_name AS html")
+    return find(rows, Path().select("p")).groupBy(page_id()).agg(big("n"))
+
+
+@query("legacy_encodings", """SELECT n_nationkey::BIGINT AS page_id, unnest(['windows-1252', 'windows-1252', 'UTF-16BE', 'UTF-8', 'UTF-8']) AS encoding,
+       unnest(['é' || n_name, 'ü' || n_name, '日' || n_name, 'ß' || n_name, 'ø' || n_name]) AS text FROM nation""")
+def legacy_encodings(spark, sf_dir):
+    """A label of another name, a content type in bytes, a byte order mark, a label that can't be, and a declaration in a comment."""
+    raws = (
+        "encode('<meta charset=\"latin1\"><p>é' || name, 'ISO-8859-1')",
+        "encode('<meta http-equiv=\"Content-Type\" content=\"text/html; charset=iso-8859-1\"><p>ü' || name, 'ISO-8859-1')",
+        "encode('<p>日' || name, 'UTF-16')",
+        "encode('<meta charset=utf-16le><p>ß' || name, 'UTF-8')",
+        "encode('<!-- <meta charset=latin1> --><p>ø' || name, 'UTF-8')",
+    )
+    from functools import reduce
+
+    pages = reduce(DataFrame.unionByName, (made(spark, sf_dir, raw) for raw in raws))
+    return dom.parse(pages).select(page_id(), "encoding", F.col("doc_text").alias("text"))
+
+
+@query("reparsed", "SELECT n_nationkey::BIGINT AS page_id, CASE WHEN n_nationkey % 3 = 0 THEN 'new ' || n_name ELSE n_name END AS text FROM nation UNION ALL SELECT 100 + n_nationkey, 'new ' || n_name FROM nation WHERE n_nationkey % 3 = 0")
+def reparsed(spark, sf_dir):
+    """A third of the documents again, a third too large to take their place, and some that weren't there."""
+    kept = dom.parse(made(spark, sf_dir, "'<p>' || name"))
+    third = made(spark, sf_dir, "CASE k % 3 WHEN 0 THEN '<p>new ' || name WHEN 1 THEN repeat('x', 1000) END").where("html is not null")
+    more = made(spark, sf_dir, "'<p>new ' || name").where("page_id % 3 = 0").withColumn("page_id", F.col("page_id") + 100)
+    rows = dom.replace_documents(kept, third.unionByName(more), options=dom.ParseOptions(200))
+    return rows.select(page_id(), F.col("doc_text").alias("text"))
+
+
+@query("early_stop_bytes", "SELECT n_nationkey::BIGINT AS page_id, CASE WHEN n_nationkey < 20 THEN 'SubtreeComplete' END AS completeness, CASE WHEN n_nationkey < 20 THEN 'é' || n_name END AS text, CASE WHEN n_nationkey < 20 THEN '<meta charset=\"latin1\"><h1>é' || n_name || '</h1>' END AS partial, n_nationkey >= 20 AS too_large FROM nation")
+def early_stop_bytes(spark, sf_dir):
+    """Stops in bytes of a legacy encoding, with the document as far as it was built; some are too large."""
+    raw = made(spark, sf_dir, "encode('<meta charset=latin1><h1>é' || name || '</h1><p>rest' || CASE WHEN k >= 20 THEN repeat('x', 1000) ELSE '' END, 'ISO-8859-1')")
+    rows = early.parse_until(raw, early.accepts("h1"), "closed", options=dom.ParseOptions(500))
+    return rows.select(page_id(), "completeness", F.col("text_content").alias("text"), F.col("doc_html").alias("partial"), F.col("error").isNotNull().alias("too_large"))
+
+
+@query("made_trees", "SELECT n_regionkey::BIGINT AS page_id, '<ul>' || string_agg('<li>' || n_name || '</li>', '' ORDER BY n_nationkey) || '</ul>' AS value FROM nation GROUP BY n_regionkey")
+def made_trees(spark, sf_dir):
+    """Trees from rows: a region's list of nations."""
+    from .sources.made import nodes_of, to_html
+
+    rows = table(spark, sf_dir, "nation").selectExpr("cast(n_regionkey AS bigint) AS doc_id", "n_nationkey AS k", "n_name AS name")
+    none = "cast(array() AS array<struct<name:string,value:string>>) AS attrs"
+    lists = rows.select("doc_id").distinct().selectExpr("doc_id", "-1 AS node", "cast(null AS int) AS parent", "0 AS position", "'element' AS kind", "'ul' AS tag", "cast(null AS string) AS text", none)
+    items = rows.selectExpr("doc_id", "2 * k AS node", "-1 AS parent", "k AS position", "'element' AS kind", "'li' AS tag", "cast(null AS string) AS text", none)
+    texts = rows.selectExpr("doc_id", "2 * k + 1 AS node", "2 * k AS parent", "0 AS position", "'text' AS kind", "cast(null AS string) AS tag", "name AS text", none)
+    return to_html(nodes_of(lists.unionByName(items).unionByName(texts))).select(page_id(), F.col("doc_html").alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,9 @@ COMMENT_END = re.compile(r"--!?>")
 OPEN_COMMENT_TAIL = re.compile(r"(?:--!|--|-)\Z")
 DOCTYPE = re.compile(r"<!doctype", re.IGNORECASE)
 TEXT_END = {n: re.compile(rf"</{n}(?=[ \t\n\f\r/>])", re.IGNORECASE) for n in RAW_TEXT | RCDATA}
+#: A character reference that what follows may still lengthen.
+OPEN_REFERENCE = re.compile(r"&(?:#[xX]?[0-9a-fA-F]*|[A-Za-z0-9]*)\Z")
+DECLARATIONS = ("<!--", "<!doctype", "<![cdata[")
 SCRIPT_MARK = re.compile(r"<!--(?!-?>)|-->|<(/?)script(?=[ \t\n\f\r/>])", re.IGNORECASE)
 
 RawAttr = tuple[str, str | None]
@@ -108,8 +111,27 @@ def script_end(html: str, at: int) -> int:
     return -1
 
 
-def scan(html: str, sink: Sink) -> int:
-    """Returns how many characters were read: all, or up to where the sink stopped it."""
+def ends_here(html: str, lt: int) -> bool:
+    """Whether the declaration, end tag or text element that begins at lt ends in html, so that nothing after html changes it."""
+    if html.startswith("<!", lt):
+        rest = html[lt : lt + 9].lower()
+        if any(d.startswith(rest) and d != rest for d in DECLARATIONS):
+            return False
+        if rest.startswith("<!--"):
+            return html.startswith((">", "->"), lt + 4) or COMMENT_END.search(html, lt + 4) is not None
+        return html.find("]]>" if html.startswith("<![CDATA[", lt) else ">", lt) >= 0
+    if html[lt + 1] in "/?":
+        return html.find(">", lt) >= 0
+    name = ascii_lower(NAME.match(html, lt + 1)[0])
+    if name == "script":
+        got = read_attributes(html, lt + 7)
+        return got is not None and script_end(html, got[2]) >= 0
+    return name != "plaintext" and (name not in TEXT_END or TEXT_END[name].search(html, lt) is not None)
+
+
+def scan(html: str, sink: Sink, final: bool = True) -> int:
+    """Returns how many characters were read: all, or up to where the sink stopped it. If html isn't final, more is to come, and
+    what that may still change isn't read: a construct that doesn't end here, a reference at the end."""
     at, n = 0, len(html)
     find = html.find
     while at < n:
@@ -117,9 +139,17 @@ def scan(html: str, sink: Sink) -> int:
             return at
         lt = find("<", at)
         if lt < 0 or lt + 1 >= n:
-            sink.text(html[at:], True)
-            return n
+            end = n
+            if not final:
+                end = lt if lt >= 0 else m.start() if (m := OPEN_REFERENCE.search(html, at)) else n
+            if end > at:
+                sink.text(html[at:end], True)
+            return end
         c = html[lt + 1]
+        if not final and (c in "/!?" or c.isascii() and c.isalpha()) and (lt + 2 >= n or not ends_here(html, lt)):
+            if lt > at:
+                sink.text(html[at:lt], True)
+            return lt
         if ("a" <= c <= "z") or ("A" <= c <= "Z"):
             if lt > at:
                 sink.text(html[at:lt], True)
@@ -130,7 +160,7 @@ def scan(html: str, sink: Sink) -> int:
             else:
                 got = read_attributes(html, end)
                 if got is None:
-                    return n
+                    return n if final else lt
                 attrs, slash, at = got
             opened = sink.open_tag(name[0], attrs, slash)
             if opened:
@@ -158,7 +188,7 @@ def scan(html: str, sink: Sink) -> int:
                 else:
                     got = read_attributes(html, end)
                     if got is None:
-                        return n
+                        return n if final else lt
                     at = got[2]
                 sink.close_tag(name[0])
             else:

@@ -1,10 +1,19 @@
 """Documents that arrive in chunks: (doc_id, seq, chunk BINARY, is_last).
 
 In batch, chunks are put together by an ordered aggregate. As a stream, a
-document's chunks are state, keyed by document, until all up to its last one are
-there, whatever order and micro-batches they come in; then it is parsed as if it
-had come at once, so results don't depend on how it was cut. Too large a document
-is an error at once, its state is dropped, and later chunks say the parser ended.
+document's chunks are state, keyed by document, each written once, until all up to
+its last one are there, whatever order and micro-batches they come in; then the
+document goes on whole, so results don't depend on how it was cut, and anything
+that works on pages, nodes, selectors, paths and axes among it, works on a stream
+of chunks. Too large a document is an error at once, its state is dropped, and
+chunks that are new after that say the parser ended.
+
+What is kept of a document, chunks that never got complete and the mark that it
+was done, goes ``ttl_ms`` after it was last written; with None it stays, as fits
+streams that end.
+
+Defined cases: a chunk that comes again is passed over; a null chunk is empty; a
+document without a last chunk gives nothing; a null id is a document's id.
 """
 
 from __future__ import annotations
@@ -14,28 +23,29 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..sources.dom import ParseOptions, parse, parse_one
+from ..sources.dom import ParseOptions, parse
+from .incremental import TERMINATED
 
-PARSED = "doc_id long, node_count int, encoding string, error string, doc_text string, doc_html string"
-STATE = "seqs array<int>, chunks array<binary>, last int, size long, error string"
-TERMINATED = "ParserTerminated"
+DAY_MS = 24 * 3600 * 1000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def chunked(pages: DataFrame, size: int, id_col: str = "page_id", raw_col: str = "raw") -> DataFrame:
     """A BINARY column cut into chunks of so many bytes; an empty document is one empty chunk."""
     n = F.greatest(F.ceil(F.octet_length(raw_col) / F.lit(size)), F.lit(1)).cast("int")
-    rows = pages.select(F.col(id_col).cast("long").alias("doc_id"), F.col(raw_col).alias("raw"), n.alias("n"))
+    rows = pages.select(F.col(id_col).alias("doc_id"), F.col(raw_col).alias("raw"), n.alias("n"))
     rows = rows.withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return rows.select("doc_id", "seq", F.expr(f"substring(raw, seq * {size} + 1, {size})").alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("is_last"))
 
 
 def assemble(chunks: DataFrame) -> DataFrame:
-    """(doc_id, raw): each document's chunks in order of seq."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
-    joined = F.aggregate(ordered, F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["chunk"]))
-    return chunks.groupBy("doc_id").agg(joined.alias("raw"))
+    """(doc_id, raw): each document's chunks in order of seq, put together at once."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", F.hex(F.coalesce("chunk", F.lit(b""))).alias("chunk"))))
+    joined = F.array_join(F.transform(ordered, lambda x: x["chunk"]), "")
+    return chunks.groupBy("doc_id").agg(F.unhex(joined).alias("raw"))
 
 
 def parse_chunks(chunks: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
@@ -43,42 +53,58 @@ def parse_chunks(chunks: DataFrame, options: ParseOptions = ParseOptions()) -> D
     return parse(assemble(chunks), "doc_id", "raw", options)
 
 
-def parse_stream(chunks: DataFrame, options: ParseOptions = ParseOptions()) -> DataFrame:
-    """Streaming: a row per document once its last chunk is there, or at its first error, and a row per chunk after an error."""
+class Assembler(StatefulProcessor):
+    """Of each document: its chunks by seq, and (number of the last one or -1, bytes, chunks, how it ended)."""
 
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seqs, held, last, size, error = state.get if state.exists else ([], [], -1, 0, None)
-        seqs, held = list(seqs), list(held)
-        out = []
+    def __init__(self, options: ParseOptions, ttl_ms: int | None):
+        self.options, self.ttl_ms = options, ttl_ms
 
-        def row(**values) -> None:
-            out.append({"doc_id": key[0], "node_count": None, "encoding": None, "error": None, "doc_text": None, "doc_html": None} | values)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.chunks = handle.getMapState("chunks", "seq int", "chunk binary", self.ttl_ms)
+        self.about = handle.getValueState("about", "last int, size long, n int, ended string", self.ttl_ms)
 
-        rows = [r for pdf in pdfs for r in pdf.itertuples(index=False)]
-        for r in sorted(rows, key=lambda r: r.seq):
-            if error:
-                row(error=TERMINATED)
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        last, size, n, ended = self.about.get() if self.about.exists() else (-1, 0, 0, None)
+        out: list[tuple] = []
+        for r in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r.seq):
+            seq, chunk = int(r.seq), bytes(r.chunk) if r.chunk is not None else b""
+            if ended == "Done" and seq <= last or not ended and self.chunks.containsKey((seq,)):
+                continue  # again
+            if ended:
+                out.append((None, TERMINATED))
                 continue
-            if r.seq in seqs:
+            size, n = size + len(chunk), n + 1
+            last = seq if r.is_last else last
+            if error := self.options.check(size):
+                out.append((None, error))
+                ended = "Error"
+                self.chunks.clear()
                 continue
-            chunk = bytes(r.chunk or b"")
-            size += len(chunk)
-            error = options.check(size)
-            if error:
-                row(error=error)
-                seqs, held = [], []
-                continue
-            seqs.append(int(r.seq))
-            held.append(chunk)
-            last = int(r.seq) if r.is_last else last
-            if last >= 0 and len(seqs) == last + 1:
-                parsed = parse_one(b"".join(c for _, c in sorted(zip(seqs, held, strict=True))), options)
-                row(**{k: parsed[k] for k in ("node_count", "encoding", "error", "doc_text", "doc_html")})
-                seqs, held, error = [], [], TERMINATED
-        state.update((seqs, held, last, size, error))
+            self.chunks.updateValue((seq,), (chunk,))
+            if n == last + 1:
+                parts = sorted((k[0], bytes(v[0])) for k, v in self.chunks.iterator())
+                out.append((b"".join(c for _, c in parts), None))
+                ended = "Done"
+                self.chunks.clear()
+        self.about.update((last, size, n, ended))
         if out:
-            frame = pd.DataFrame(out)
-            frame["node_count"] = frame["node_count"].astype("Int32")
-            yield frame
+            yield pd.DataFrame({"doc_id": [key[0]] * len(out), "raw": [x for x, _ in out], "error": [e for _, e in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def assemble_stream(chunks: DataFrame, options: ParseOptions = ParseOptions(), ttl_ms: int | None = DAY_MS) -> DataFrame:
+    """Streaming: (doc_id, raw, error), a row per document once its last chunk is there, or at its first error, and a row per new chunk
+    after that. The session's state store must be RocksDB's."""
+    spark = chunks.sparkSession
+    if spark.conf.get(PROVIDER, "") != ROCKSDB:
+        raise ValueError(f"set {PROVIDER} to {ROCKSDB}")
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    rows = chunks.select("doc_id", F.col("seq").cast("int").alias("seq"), "chunk", "is_last")
+    return rows.groupBy("doc_id").transformWithStateInPandas(Assembler(options, ttl_ms), f"doc_id {kind}, raw binary, error string", "Append", "None" if ttl_ms is None else "ProcessingTime")
+
 
-    return chunks.groupBy("doc_id").applyInPandasWithState(run, PARSED, STATE, "append", GroupStateTimeout.NoTimeout)
+def parse_stream(chunks: DataFrame, options: ParseOptions = ParseOptions(), ttl_ms: int | None = DAY_MS) -> DataFrame:
+    """Streaming: the documents of a stream of chunks, nodes and all, as sources.dom.parse gives them, errors as rows."""
+    return parse(assemble_stream(chunks, options, ttl_ms), "doc_id", "raw", options, "error")

@@ -3,7 +3,8 @@
 ``created`` stops as soon as the node is made, elements when their start tag is
 read and texts when their run ends; ``closed`` stops when a matching element
 leaves the stack of open elements, or the document ends. The rest of the document
-is not read.
+is not read. Bytes are decoded whole first, so what is read is what a whole parse
+would have read.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..plans.css import compound_of
+from ..plans.inside import part_test
 from ..sources.builder import Node, TreeBuilder
-from ..sources.dom import number, spread
+from ..sources.dom import ParseOptions, documents, ids_schema, sources
 from ..sources.tokenizer import scan
+from ..sources.tree import Tree
 
-EARLY = "doc_id long, matched boolean, completeness string, chars_consumed long, node_count int, pre int, tag string, text string, text_content string, outer_html string"
+EARLY = "matched boolean, completeness string, chars_consumed long, node_count int, pre int, tag string, text string, text_content string, outer_html string, doc_text string, doc_html string, error string"
 NodePredicate = Callable[[Node], bool]
 
 
@@ -57,22 +60,40 @@ def has_tag(tag: str) -> NodePredicate:
     return lambda node: node.kind == "element" and node.tag == tag
 
 
-def parse_until(pages: DataFrame, predicate: NodePredicate, mode: str = "created", id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """A row per document: its first match and the partial document's size. The predicate goes to the executors."""
+def accepts(css: str) -> NodePredicate:
+    """Elements that a selector without combinators and positions accepts, as far as their start tag tells."""
+    tests = [part_test(p) for p in compound_of(css)]
+
+    class One:
+        """A tree of the node alone."""
+
+        def __init__(self, node: Node):
+            self.nodes = [node]
+
+    return lambda node: node.kind == "element" and all(t(One(node), 0) for t in tests)
+
+
+def parse_until(pages: DataFrame, predicate: NodePredicate, mode: str = "created", id_col: str = "page_id", html_col: str = "html", options: ParseOptions = ParseOptions()) -> DataFrame:
+    """A row per document: its first match and the document as far as it was built. completeness is Created or SubtreeComplete, or Done
+    without a match; html_col is STRING or BINARY. The predicate goes to the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"matched": pa.bool_(), "completeness": pa.string(), "chars_consumed": pa.int64(), "node_count": pa.int32(), "pre": pa.int32()}
+        kinds |= dict.fromkeys(("tag", "text", "text_content", "outer_html", "doc_text", "doc_html", "error"), pa.string())
         for batch in batches:
             out = []
-            for doc_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                match, read, root = EarlyStop(predicate, mode).run(html or "")
-                rows, text, markup = number(root)
-                row = {"doc_id": doc_id, "matched": match is not None, "chars_consumed": read, "node_count": len(rows), "completeness": "Done", "pre": None, "tag": None, "text": None, "text_content": None, "outer_html": None}
-                if match is not None:
-                    r = rows[match.pre]
-                    row |= {"completeness": "Created" if mode == "created" else "SubtreeComplete", "pre": match.pre, "tag": match.tag, "text": match.text}
-                    row |= {"text_content": text[r["text_start"] : r["text_start"] + r["text_len"]], "outer_html": markup[r["html_start"] : r["html_start"] + r["html_len"]]}
+            for text, _, error in sources(batch, options):
+                row = dict.fromkeys(kinds) | {"matched": False, "error": error}
+                if not error:
+                    match, read, root = EarlyStop(predicate, mode).run(text or "")
+                    tree = Tree(root)
+                    row |= {"matched": match is not None, "chars_consumed": read, "node_count": len(tree), "completeness": "Done", "doc_text": tree.text, "doc_html": tree.markup[0]}
+                    if match is not None:
+                        i = tree.nodes.index(match)
+                        row |= {"completeness": "Created" if mode == "created" else "SubtreeComplete", "pre": i, "tag": match.tag, "text": match.text}
+                        row |= {c: tree.column(c, [i])[0] for c in ("text_content", "outer_html")}
                 out.append(row)
-            kinds = {"doc_id": pa.int64(), "matched": pa.bool_(), "completeness": pa.string(), "chars_consumed": pa.int64(), "node_count": pa.int32(), "pre": pa.int32(), "tag": pa.string(), "text": pa.string(), "text_content": pa.string(), "outer_html": pa.string()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], k) for n, k in kinds.items()], list(kinds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([r[n] for r in out], k) for n, k in kinds.items()]], ["doc", "doc_id", *kinds])
 
-    return spread(pages.select(F.col(id_col).cast("long").alias("doc_id"), html_col)).mapInArrow(run, EARLY)
+    rows = documents(pages, id_col, html_col)
+    return rows.mapInArrow(run, f"{ids_schema(rows)}, {EARLY}")

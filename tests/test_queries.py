@@ -136,7 +136,7 @@ def test_first_within_and_lookups(nodes):
 
 def test_select_uses_one_shuffle(nodes, spark):
     plan = css.select(spark.createDataFrame(nodes.limit(1).collect(), nodes.schema), "div p > span + *")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(doc_id") == 1
+    assert plan.count("Exchange hashpartitioning(doc#") == 1
 
 
 def names(step, rows, parents):
@@ -199,7 +199,7 @@ def test_axes(nodes):
 
 
 def test_text_content_by_join(nodes):
-    inner = nodes.where("kind = 'text'").select("doc_id", F.col("pre").alias("tpre"), F.col("text").alias("t"))
-    rows = css.select(nodes, "div").join(inner, "doc_id").where("tpre between pre and subtree_end")
-    want = rows.groupBy("doc_id", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpre", "t"))), lambda x: x["t"]), "").alias("joined"), F.first("text_content").alias("sliced"))
+    inner = nodes.where("kind = 'text'").select("doc", F.col("pre").alias("tpre"), F.col("text").alias("t"))
+    rows = css.select(nodes, "div").join(inner, "doc").where("tpre between pre and subtree_end")
+    want = rows.groupBy("doc", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tpre", "t"))), lambda x: x["t"]), "").alias("joined"), F.first("text_content").alias("sliced"))
     assert want.where("joined <> sliced").count() == 0

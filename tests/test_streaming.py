@@ -1,12 +1,17 @@
 """Chunks in batch and as a stream, early stop, SQL functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomdoc.functions.sql import register
+from loomdoc.plans.inside import Path, find
 from loomdoc.sources import dom
 from loomdoc.sources.dom import ParseOptions, parse_one
+from loomdoc.sources.tokenizer import tokenize
 from loomdoc.streaming import chunks, early
+from loomdoc.streaming.incremental import StreamParser, StreamTokenizer, decode_chunks
 
 PAGES = ["<p>é</p>" * 30, "", '<meta charset="latin1"><pre>\r\nx' + "y" * 2000, "<script>a</script" + " b" * 700 + ">c"]
 
@@ -24,32 +29,102 @@ def test_batch_chunks(raw, size):
     assert got == {i: (p["doc_html"], p["encoding"]) for i, p in ((i, parse_one(b, ParseOptions())) for i, b in want.items())}
 
 
-def test_stream_of_chunks(spark, raw, tmp_path):
-    cut = chunks.chunked(raw, 64)
-    # late, shuffled, repeated
-    for i, part in enumerate((cut.where("seq % 2 = 1"), cut.where("seq % 2 = 0"), cut.where("seq = 0"))):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(i)))
-    stream = spark.readStream.schema(cut.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = chunks.parse_stream(stream).writeStream.format("memory").queryName("parsed_chunks").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+@pytest.fixture
+def rocksdb(spark):
+    spark.conf.set(chunks.PROVIDER, chunks.ROCKSDB)
+    yield
+    spark.conf.unset(chunks.PROVIDER)
+
+
+def streamed(spark, schema, path, name, plan):
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+    query = plan(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(path / "ck")).start()
     try:
         query.processAllAvailable()
     finally:
         query.stop()
-    got = [(r.doc_id, r.doc_html) for r in spark.table("parsed_chunks").where("error is null").collect()]
-    assert sorted(got) == sorted((r.page_id, parse_one(bytes(r.raw), ParseOptions())["doc_html"]) for r in raw.collect())
+    return spark.table(name).collect()
+
+
+def test_stream_of_chunks(spark, raw, tmp_path, rocksdb):
+    cut = chunks.chunked(raw, 64)
+    # late, shuffled, repeated before and after the document is done
+    for i, part in enumerate((cut.where("seq % 2 = 1"), cut.where("seq % 2 = 1"), cut.where("seq % 2 = 0"), cut.where("seq = 0"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(i)))
+    got = streamed(spark, cut.schema, tmp_path, "parsed_chunks", lambda s: chunks.parse_stream(s, ttl_ms=None))
+    want = {r.page_id: parse_one(bytes(r.raw), ParseOptions()) for r in raw.collect()}
+    assert {r.doc_id: (r.doc_html, r.encoding, r.error) for r in got} == {i: (p["doc_html"], p["encoding"], None) for i, p in want.items()} and len(got) == len(want)
+    assert {r.doc_id: [n.tag for n in r.nodes] for r in got} == {i: [n["tag"] for n in p["nodes"]] for i, p in want.items()}
 
 
-def test_stream_limit(spark, raw, tmp_path):
+def test_a_path_on_a_stream(spark, raw, tmp_path, rocksdb):
+    cut = chunks.chunked(raw, 100).withColumn("doc_id", F.concat(F.lit("page "), "doc_id"))
+    cut.repartition(3).write.parquet(str(tmp_path / "in"))
+    got = streamed(spark, cut.schema, tmp_path, "paths", lambda s: find(chunks.assemble_stream(s, ttl_ms=None), Path().select("p"), ("text_content",), "doc_id", "raw"))
+    assert [(r.doc_id, r.text_content) for r in got] == [("page 0", "é")] * 30
+
+
+def test_stream_limit(spark, raw, tmp_path, rocksdb):
     cut = chunks.chunked(raw.where("page_id = 2"), 512)
+    for i, part in enumerate((cut.where("seq < 3"), cut.where("seq >= 3"))):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    errors = [r.error.split(":")[0] for r in streamed(spark, cut.schema, tmp_path, "limited", lambda s: chunks.parse_stream(s, ParseOptions(1000), ttl_ms=None))]
+    assert sorted(errors) == ["InputTooLarge"] + ["ParserTerminated"] * (len(errors) - 1) and len(errors) > 1
+
+
+def test_a_stream_forgets(spark, raw, tmp_path, rocksdb):
+    """With a time to live, and without RocksDB an error that says so."""
+    cut = chunks.chunked(raw, 700)
     cut.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(cut.schema).parquet(str(tmp_path / "in"))
-    query = chunks.parse_stream(stream, ParseOptions(1000)).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    errors = sorted(r.error.split(":")[0] for r in spark.table("limited").collect())
-    assert errors[0] == "InputTooLarge" and set(errors[1:]) == {"ParserTerminated"}
+    assert chunks.assemble_stream(stream, ttl_ms=1000).columns == ["doc_id", "raw", "error"]
+    spark.conf.unset(chunks.PROVIDER)
+    with pytest.raises(ValueError, match="RocksDB"):
+        chunks.assemble_stream(stream)
+
+
+HARD = PAGES + [
+    "a&ampb &am", "x&#38", "t&copy", "<!-- a --!> b <!-", "<!DOCTYPE html><!doctyp", "<![CDATA[ x ]]> y <![CDA", "<p a='1>2' b>t</p", "<script><!--<script>a</script>b--></script>c", "<title>a&amp;</titl>b</title>",
+    "<plaintext>a<b>&amp;", "<textarea>\r\nq</textarea></>", "a < b << c <3 </ x>", "<?pi><!x", "<select><style></select>b</style>", "<",
+]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, 64])
+def test_tokens_and_trees_piece_by_piece(size):
+    for html in HARD:
+        one = StreamTokenizer()
+        for at in range(0, len(html), size):
+            one.feed(html[at : at + size])
+        assert one.finish() == tokenize(html), html
+        raw = html.encode("latin-1" if "latin1" in html else "utf-8")
+        parser = StreamParser()
+        for at in range(0, len(raw), size):
+            parser.feed(raw[at : at + size])
+        assert parser.finish().markup[0] == parse_one(raw)["doc_html"], html
+        with pytest.raises(ValueError, match="ParserTerminated"):
+            parser.feed(b"x")
+
+
+def test_piecewise_limits_and_time():
+    parser = StreamParser(ParseOptions(10))
+    parser.feed(b"12345")
+    with pytest.raises(ValueError, match="InputTooLarge"):
+        parser.feed(b"678901")
+    with pytest.raises(ValueError, match="ParserTerminated"):
+        parser.finish()
+    began, tokens = time.process_time(), StreamTokenizer()
+    for _ in range(40_000):
+        tokens.feed("<!-- x ")
+    assert tokens.buffered > 200_000 and len(tokens.finish()) == 1 and time.process_time() - began < 5
+
+
+def test_chunks_decoded_as_they_come(spark):
+    text = '<meta charset="shift_jis">' + "日本" * 900
+    df = spark.createDataFrame([("a", bytearray(text.encode("shift_jis"))), (None, bytearray(b"x"))], "page_id string, raw binary")
+    got = {}
+    for r in decode_chunks(chunks.chunked(df, 7)).orderBy("doc_id", "seq").collect():
+        got[r.doc_id] = got.get(r.doc_id, "") + r.text
+    assert got == {"a": text, None: "x"}
 
 
 def test_early_stop(spark):
