@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming.files import own_dir
+
 #: White space of the text contracts: U+0020 and U+0009 to U+000D.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,19 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 LAST_ID = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomdoc-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts the lineage, computes df once, gives the planner real sizes."""
+    """Write df to the shared folder as Parquet and read it back: cuts the lineage, computes df once, gives the planner real sizes.
+    The driver deletes these tables when it ends, or when files.clear is called."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
