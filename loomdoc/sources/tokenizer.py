@@ -18,6 +18,8 @@ RAW_TEXT = frozenset("script style iframe xmp noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+#: A tag without attributes.
+BARE_TAG = re.compile(r"<(/?)([A-Za-z][^ \t\n\f\r/>]*)>")
 NAME = re.compile(r"[^ \t\n\f\r/>]+")
 GAP = re.compile(r"[ \t\n\f\r/]*")
 ATTR_NAME = re.compile(r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*")
@@ -133,11 +135,27 @@ def scan(html: str, sink: Sink, final: bool = True) -> int:
     """Returns how many characters were read: all, or up to where the sink stopped it. If html isn't final, more is to come, and
     what that may still change isn't read: a construct that doesn't end here, a reference at the end."""
     at, n = 0, len(html)
-    find = html.find
+    find, bare = html.find, BARE_TAG.match
+    on_text, on_open, on_close, go_on = sink.text, sink.open_tag, sink.close_tag, sink.should_continue
     while at < n:
-        if not sink.should_continue():
+        if not go_on():
             return at
         lt = find("<", at)
+        if lt >= 0 and (m := bare(html, lt)) and (final or m[1] or ends_here(html, lt)):
+            if lt > at:
+                on_text(html[at:lt], True)
+            at = m.end()
+            if m[1]:
+                on_close(m[2])
+            elif on_open(m[2], [], False):
+                tag = ascii_lower(m[2])
+                if tag in TEXT_END:
+                    at = text_element(html, at, tag, sink)
+                elif tag == "plaintext":
+                    if at < n:
+                        on_text(html[at:], False)
+                    return n
+            continue
         if lt < 0 or lt + 1 >= n:
             end = n
             if not final:
