@@ -18,10 +18,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 LAST_ID = (1 << 63) - 1
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
+#: Rows of a table that aren't worth a task and a file of their own.
+FILE_ROWS = 20_000
+
+
+def materialize(df: DataFrame, tag: str, codec: str = "snappy", most_rows: int | None = None) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: cuts the lineage, computes df once, gives the planner real sizes.
-    The driver deletes these tables when it ends, or when files.clear is called."""
+    most_rows, if that is known of df, spares small tables hundreds of tasks and files. The driver deletes these tables when it ends,
+    or when files.clear is called."""
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
     path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

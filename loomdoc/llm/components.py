@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import FILE_ROWS, materialize
 
 EDGE = "a long, b long"
 
 
-def contract(edges: DataFrame) -> DataFrame:
-    """Each partition's edges as stars around their smallest nodes: (a, b), b < a. Not more edges than before."""
+def contract(edges: DataFrame, n: int) -> DataFrame:
+    """Each partition's edges, of n at most, as stars around their smallest nodes: (a, b), b < a. Not more edges than before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         up: dict[int, int] = {}
@@ -46,26 +46,28 @@ def contract(edges: DataFrame) -> DataFrame:
             part = rows[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["a", "b"])
 
-    return edges.mapInArrow(run, EDGE)
+    return edges.coalesce(max(1, -(-n // FILE_ROWS))).mapInArrow(run, EDGE)
 
 
-def star_round(edges: DataFrame) -> DataFrame:
+def star_round(edges: DataFrame, n: int) -> DataFrame:
+    """n: how many edges there are; no table here has more than twice as many rows."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-    small = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "small")
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", most_rows=2 * n)
+    large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large", most_rows=n)
+    small = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "small", most_rows=n)
     over = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return over.unionByName(small.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of edges (a, b); root is the component's smallest node."""
-    now = materialize(contract(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")), "edges")
+    """(node, root) of every node of edges (a, b), a materialized table; root is the component's smallest node."""
+    n = edges.count()
+    now = materialize(contract(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), n), "edges")
     state = None
     for _ in range(max_rounds):
-        now = materialize(contract(star_round(now)), "edges")
+        now = materialize(contract(star_round(now, n), n), "edges")
         new = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
         if new == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = new
+        state, n = new, new[0]
     raise RuntimeError("components did not settle")

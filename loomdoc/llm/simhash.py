@@ -184,7 +184,7 @@ def simhash_components(docs: DataFrame, threshold: int = 2, shingle: int = 3, id
     fps = materialize(fingerprints(docs, shingle, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     found = links(nodes.select(F.lit(0).alias("slot"), F.col("fp").alias("node"), "fp"), threshold)
-    roots = materialize(components(found), "roots")
+    roots = materialize(components(materialize(found, "links")), "roots")
     nodes = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root")), "rooted")
     named = materialize(nodes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
     hot = hot_keys(named, "root")
@@ -254,26 +254,27 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     near = materialize(live.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "near")
     roots = components(near)
     for i in range(PIVOTS + 1):
-        live = materialize(undecided(live, roots), "undecided")
+        n = live.count()
+        live = materialize(undecided(live, roots, n), "undecided", most_rows=n)
         if live.isEmpty():
             break
         if i < PIVOTS:
-            pivots = materialize(central(live, near), "pivots")
+            pivots = materialize(central(live, near), "pivots", most_rows=n)
             joined = live.join(pivots, "key")
             found = joined.where("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            live = joined.where("node <> pivot").select("key", "node")
-            found = verified(shared, materialize(found.distinct(), "candidates"), similarity)
+            live = materialize(joined.where("node <> pivot").select("key", "node"), "rest", most_rows=n)
+            found = verified(shared, materialize(found.distinct(), "candidates", most_rows=n), similarity, n)
         else:
-            found = across(live, shared, similarity)
-        near = near.unionByName(materialize(found, "near"))
+            found = across(live, shared, similarity, n)
+        near = materialize(near.unionByName(found), "near")
         roots = materialize(components(near), "roots")
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
-def undecided(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, root) of members (key, node) of keys that more than one component has."""
+def undecided(members: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """(key, node, root) of n members (key, node) of keys that more than one component has."""
     rooted = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed_keys = materialize(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "mixed-keys")
+    mixed_keys = materialize(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "mixed-keys", most_rows=n)
     return rooted.join(mixed_keys, "key", "left_semi")
 
 
@@ -315,12 +316,12 @@ def links_of(hashes: list[np.ndarray], roots: np.ndarray, side: np.ndarray | Non
     return out
 
 
-def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of every two members of a key that are in different components and similar. A key's members are dealt
+def across(members: DataFrame, sets: DataFrame, similarity: float, n: int) -> DataFrame:
+    """(a, b) of every two of n members of a key that are in different components and similar. A key's members are dealt
     to blocks and every two blocks meet by themselves, so no key is one task."""
     sized = members.join(sets.select("node", F.size("hashes").alias("n")), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / PER_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = materialize(sized.groupBy("key").agg(blocks.alias("blocks")), "block-sizes")
+    sizes = materialize(sized.groupBy("key").agg(blocks.alias("blocks")), "block-sizes", most_rows=n)
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = materialize(dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root"), "blocks")
@@ -337,9 +338,9 @@ def across(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return cells.applyInArrow(compare, "a long, b long").distinct()
 
 
-def verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b), those whose shingle sets are so similar."""
-    ids = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ids")
+def verified(sets: DataFrame, pairs: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Of at most n pairs (a, b), those whose shingle sets are so similar."""
+    ids = materialize(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "pair-ids", most_rows=2 * n)
     sets = materialize(sets.join(ids, "node", "left_semi"), "pair-shingles")
     left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"of_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")

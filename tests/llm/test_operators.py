@@ -330,7 +330,7 @@ def test_blocks_find_every_link(spark, monkeypatch):
         assert {x for x in got if x[1] < 70} == want and len(want) > 20
     members = spark.createDataFrame([(k, n, roots[n]) for k in (1, 2) for n in range(k - 1, 70)] + [(3, 70, 70), (3, 71, 71), (3, 72, 72)], "key long, node long, root long")
     table = spark.createDataFrame([(n, [int(x) for x in h.view(np.int32)]) for n, h in enumerate(sets)], "node long, hashes array<int>")
-    got = {(r.a, r.b) for r in simhash.across(members, table, 0.8).collect()}
+    got = {(r.a, r.b) for r in simhash.across(members, table, 0.8, members.count()).collect()}
     assert {x for x in got if x[1] < 70} == {(i, j) for j in range(70) for i in range(j) if roots[i] != roots[j] and like(i, j)}
     assert closure(3, lambda i, j: (70 + j, 70 + i) in got) == [0, 0, 0] or {(70, 71), (70, 72)} <= got
 
