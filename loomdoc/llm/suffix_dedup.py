@@ -24,8 +24,11 @@ Order is by a hash of the head, then by bytes, so ranges are even without
 sampling. A string in a third of all documents is one suffix per chunk. All of
 it is one plan: chunks are shuffled once and read three times, lost tasks are
 run again from shuffle files, and a chunk's documents are sorted before use, so
-a rerun gives the same runs. The exchanges have a block per chunk and range, of
-which the numbers grow with the input, each.
+a rerun gives the same runs. The exchanges have a block per chunk and range that
+have something for each other: at most the product of their numbers, which both
+grow with the input, and at most the number of heads, which is in proportion to it.
+By reckoning, not measured: blocks have many heads up to some 50 GB of input, and
+one each from some 10 TB on, where a block's own fields are some five times its head.
 
 Defined cases: a null or short text has no windows and keeps all its bytes; a
 null id is larger than all ids; rows that share an id don't remove each other's

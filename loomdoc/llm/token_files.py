@@ -19,8 +19,8 @@ n_docs, image): part and seq order them as doc_id does, and the table's rows are
 what Spark's readers fetch from any store.
 
 Defined cases: a null text is the empty text, whose one id is the end id; null
-ids come last; rows that share an id stay side by side, in order of their texts;
-an empty table gives an empty result; other columns aren't read.
+ids come last; rows that share an id stay side by side, in order of their texts,
+and are split over ranges unless their texts begin alike; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -219,7 +219,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, base: int = 4
 
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), whole(col(docs, text_col)).alias("text"))
     order = F.col("doc_id").asc_nulls_last()
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), order).sortWithinPartitions(order, "text")
+    # rows without an id, or of one id, are dealt by how their texts begin, which is in their order
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
     return materialize(dealt.mapInArrow(run, "part int, seq int, start long, n_tokens long, n_docs long, image binary"), "shards")
 
 
