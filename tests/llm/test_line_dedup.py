@@ -13,7 +13,7 @@ from . import cases
 LAST = (1 << 63) - 1
 
 
-def brute(rows, size):
+def brute(rows, size, long_words=50):
     docs = [((LAST if i is None else i), t or "", i) for i, t, *_ in rows]
     first = {}
     for k, t, _ in docs:
@@ -22,6 +22,9 @@ def brute(rows, size):
             w = tuple(lines[p : p + size])
             if any(x.strip() for x in w):
                 first[w] = min(first.get(w, (LAST + 1, 0)), (k, p))
+        for p, line in enumerate(lines):
+            if len(line.split()) >= long_words:
+                first[line] = min(first.get(line, (LAST + 1, 0)), (k, p))
     out = []
     for k, t, i in docs:
         lines = t.split("\n")
@@ -30,6 +33,10 @@ def brute(rows, size):
             f = first.get(tuple(lines[p : p + size]))
             if f and (f[0] < k or (f[0] == k and f[1] <= p - size)):
                 gone |= set(range(p, p + size))
+        for p, line in enumerate(lines):
+            f = first.get(line)
+            if f and (f[0] < k or (f[0] == k and f[1] < p)):
+                gone.add(p)
         kept = "\n".join(x for n, x in enumerate(lines) if n not in gone)
         out.append((i, len(lines), len(gone), sum(n - 1 not in gone for n in gone), hashlib.sha256(kept.encode()).hexdigest()))
     return sorted(out, key=repr)
@@ -52,6 +59,18 @@ def test_line_dedup(spark, size):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_a_long_line_goes_by_itself(spark):
+    passage, short = " ".join(f"word{i}" for i in range(50)), " ".join(f"word{i}" for i in range(49))
+    rows = [(1, f"a\n{passage}\nb\n{short}", None, None, None), (2, f"c\n{passage}\n{passage}\nd\n{short}\ne", None, None, None), (3, passage, None, None, None), (None, passage, None, None, None)]
+    got = {r.doc_id: (r.n_removed, [tuple(x) for x in r.runs]) for r in line_dedup.line_dedup(cases.frame(spark, rows=rows), with_runs=True).collect()}
+    assert got == {1: (0, []), 2: (2, [(1, 1, 1, 1), (2, 1, 1, 1)]), 3: (1, [(0, 1, 1, 1)]), None: (1, [(0, 1, 1, 1)])}
+    for size, words in ((2, 3), (3, 50), (2, None)):
+        rows = rows_of_lines(size)
+        want = brute(rows, size, words or 10**9)
+        got = line_dedup.line_dedup(cases.frame(spark, rows=rows), size, words).collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=repr) == want
+
+
 def test_odd_tables(spark):
     rows = [r for r in cases.documents() if r[0] not in (11, 12)]
     got = line_dedup.line_dedup(cases.frame(spark, rows=rows)).drop("kept")
