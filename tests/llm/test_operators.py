@@ -418,6 +418,49 @@ def test_best_fit_keeps_every_limit(rule):
     assert plain.max() + 1 <= -(-lengths.sum() // 1024) * 1.02 + 1
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(None, None), (3, None), (None, 200_000), (4, 300_000)])
+def test_best_fit_against_brute_force(rule, limits):
+    """Longest first, each into the open sequence that the vector rule likes best."""
+    room, weights = 1024, (1.0, 0.3, 0.3)
+    full = [room, limits[0] or room, limits[1] or room * room]
+    lengths = np.random.default_rng(7).integers(1, 800, 250)
+    left, want = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = [lengths[i], 1, min(int(lengths[i]) ** 2, full[2])]
+        best = None
+        for b, have in enumerate(left):
+            if all(h >= n for h, n in zip(have, need)):
+                if rule == "norm":
+                    score = sum(w * ((h - n) / f) ** 2 for w, h, n, f in zip(weights, have, need, full))
+                else:
+                    score = -sum(w * (h / f) * (n / f) for w, h, n, f in zip(weights, have, need, full))
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, b)
+        if best is None:
+            left.append(list(full))
+            best = (0, len(left) - 1)
+        left[best[1]] = [h - n for h, n in zip(left[best[1]], need)]
+        want[i] = best[1]
+    got = packing.best_fit(lengths, room, *limits, weights=weights, rule=rule)
+    assert got.tolist() == [want[i] for i in range(len(lengths))]
+
+
+def test_documents_and_cost_decide_among_equal_rooms():
+    """What is left of tokens is the same in two sequences; the one whose other capacities fit better is taken."""
+    bins = packing.Bins(np.array([100.0, 100.0, 10_000.0]), np.array([1.0, 0.3, 0.3]), "norm")
+    bins.left, bins.names, bins.opened = np.array([[50.0, 98.0, 9000.0], [50.0, 60.0, 4000.0]]), np.array([0, 1]), 2
+    assert bins.place(np.array([10.0, 1, 100.0])) == 1
+
+
+def test_documents_go_into_few_sequences(spark):
+    rng = __import__("random").Random(3)
+    rows = [(i, cases.prose(rng, rng.randrange(1, 220)), "en", "s", 0) for i in range(1500)]
+    got = packing.pack_documents(cases.frame(spark, rows=rows), public_path("byte_bpe_50k.json"), bucket_pieces=400)
+    n, total = got.agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert -(-total // 1024) <= n <= 1.015 * total / 1024 + 1
+
+
 def test_token_files(spark, docs, whole):
     shards = token_files.write_shards(docs, public_path("word_bpe_49k.json"), shard_tokens=300)
     got = token_files.read_shards(shards, with_ids=True).orderBy("start").collect()
