@@ -106,16 +106,19 @@ def arrow_of(name: str, values: list) -> pa.Array:
 
 
 def documents(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", error_col: str | None = None) -> DataFrame:
-    """(doc, doc_id, html, error) of pages, over as many partitions as there are cores if they are fewer: parsing is bound by CPU, and
-    a small table is one split. Rows are dealt by their own numbers, so a rerun deals them alike. A stream's documents are numbered
-    by a hash of their ids; each comes once."""
+    """(doc, doc_id, html, error) of pages. A scan of fewer splits than there are cores is dealt over all of them: parsing is bound by
+    CPU, and a small table is one split. Rows are dealt by their own numbers, so a rerun deals them alike. What comes out of a
+    shuffle is left as it is. A stream's documents are numbered by a hash of their ids; each comes once."""
     error = F.col(error_col) if error_col else F.lit(None)
     doc = F.xxhash64(id_col) if pages.isStreaming else F.monotonically_increasing_id()
     rows = pages.select(doc.alias("doc"), F.col(id_col).alias("doc_id"), F.col(html_col).alias("html"), error.cast("string").alias("error"))
     if pages.isStreaming:
         return rows
+    plan = pages._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan":  # it has a shuffle, and counting its partitions would run it
+        return rows
     n = pages.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n, "doc") if pages.rdd.getNumPartitions() < n else rows
+    return rows.repartition(n, "doc") if plan.execute().getNumPartitions() < n else rows
 
 
 def sources(batch: pa.RecordBatch, options: ParseOptions) -> Iterator[tuple[str | None, str | None, str | None]]:
