@@ -32,7 +32,7 @@ one each from some 10 TB on, where a block's own fields are some five times its
 
 Defined cases: a null or short text has no windows and keeps all its bytes; a
 null id is larger than all ids; rows that share an id don't remove each other's
-bytes but both lose to smaller ids; an empty table gives an empty result; other
+bytes but both lose to smaller ids; wholly equal rows with an id are in one chunk; an empty table gives an empty result; other
 columns aren't read.
 """
 
@@ -381,7 +381,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     size = int(rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
     chunks = max(-(-size // CHUNK_BYTES), 3 * spark.sparkContext.defaultParallelism)
     ranges = max(-(-size // RANGE_BYTES), 3 * spark.sparkContext.defaultParallelism)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    # equal texts without ids are told apart by their row's number
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", own), F.lit(chunks)))
 
     def number(chunk: pa.Table) -> int:
         return chunk.column("chunk")[0].as_py()
