@@ -41,39 +41,44 @@ MAGIC = b"RPR1"
 SLOT_BITS = 20
 
 
+def slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number below 2^SLOT_BITS for each pair."""
+    h = left * np.uint32(0x9E3779B1)
+    h ^= right * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0xC2B2AE3D)
+    h >>= np.uint32(32 - SLOT_BITS)
+    return h.view(np.int32)
+
+
 def merge_round(symbols: np.ndarray, last: np.ndarray, next_symbol: int, most: int, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One round: (symbols, last, pairs replaced as left << 32 | right, in order of their new symbols)."""
-    code = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:].astype(np.uint64)
-    inside = ~last[:-1]
+    """One round over symbols (uint32): (symbols, last, pairs replaced as left << 32 | right, in order of their new symbols)."""
+    left, right, inside = symbols[:-1], symbols[1:], ~last[:-1]
     # Pairs are counted by slot first; only pairs of heavy slots are sorted.
-    slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-    weight = np.bincount(slot[inside], minlength=1 << SLOT_BITS)
-    heavy = inside & (weight >= min_count)[slot]
-    if not heavy.any():
-        return symbols, last, np.zeros(0, np.uint64)
-    found, count = np.unique(code[heavy], return_counts=True)
+    slot = slots(left, right)
+    heavy = np.bincount(slot[inside], minlength=1 << SLOT_BITS) >= min_count
+    at = np.flatnonzero(inside & heavy[slot])
+    slot, code = slot[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
+    found, count = np.unique(code, return_counts=True)
     ok = count >= min_count
     found, count = found[ok], count[ok]
-    order = np.argsort(-count, kind="stable")[:most]
-    pairs = found[order]
+    pairs = found[np.argsort(-count, kind="stable")[:most]]
     if not len(pairs):
         return symbols, last, pairs
-    at_slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    at_slot = slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
     table = np.full(1 << SLOT_BITS, -1, np.int32)
     table[at_slot[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]  # of pairs in one slot the most frequent has it
     pairs = pairs[kept := np.flatnonzero(table[at_slot] == np.arange(len(pairs)))]
     table[at_slot[kept]] = np.arange(len(kept), dtype=np.int32)
-    rule = np.where(inside, table[slot], -1)
-    hit = (rule >= 0) & (pairs[np.maximum(rule, 0)] == code)
+    rule = table[slot]
+    hit = (pairs[np.maximum(rule, 0)] == code) & (rule >= 0)
     # of overlapping hits every other one, from the left
-    where = np.flatnonzero(hit)
-    run = np.cumsum(np.concatenate([[True], np.diff(where) > 1])) if len(where) else where
-    begins = np.flatnonzero(np.concatenate([[True], np.diff(run) > 0])) if len(where) else where
+    where, rule = at[hit], rule[hit]
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(where) > 1]))
     nth = np.arange(len(where)) - np.repeat(begins, np.diff(np.append(begins, len(where))))
-    where = where[nth % 2 == 0]
-    symbols = symbols.copy()
-    symbols[where] = next_symbol + rule[where]
-    last = last.copy()
+    where, rule = where[nth % 2 == 0], rule[nth % 2 == 0]
+    symbols, last = symbols.copy(), last.copy()
+    symbols[where] = rule + next_symbol
     last[where] = last[where + 1]
     stay = np.ones(len(symbols), bool)
     stay[where + 1] = False
@@ -83,7 +88,7 @@ def merge_round(symbols: np.ndarray, last: np.ndarray, next_symbol: int, most: i
 def compress(docs: list[np.ndarray], ids: list[int | None], base: int, rounds: int | None = None, min_count: int = 16, per_round: int = 1 << 14) -> bytes:
     """A shard's image. Symbols are of 16 bits, and run out at 65,536, unless plain ids alone need more. rounds, if given, are the most there are."""
     sizes = np.array([len(d) for d in docs], np.int64)
-    symbols = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+    symbols = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
     base = max(base, int(symbols.max(initial=0)) + 1)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(sizes) - 1] = True
