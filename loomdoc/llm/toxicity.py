@@ -25,6 +25,7 @@ get equal scores; filtering keeps all columns.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +39,8 @@ from .common import col, fresh, whole
 
 #: name, and the SQL of its 0/1 label over the table of labels; the chain's order
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
+#: Of the table by which features are counted.
+SLOT_BITS = 22
 WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -88,18 +91,25 @@ class Chain:
 
 
 class Bags:
-    """Texts' features as pairs of (text, feature number), for features in three texts or more. Takes one text at a time and keeps numbers only."""
+    """Texts' features as pairs of (text, feature number), for features in three texts or more. Goes over texts twice, one at a time,
+    and keeps numbers only: features are counted by a hash first, and most, which are rare, never get a name."""
 
     def __init__(self, texts: Iterable[set[bytes]]):
+        counts = np.zeros(1 << SLOT_BITS, np.uint16)
+        for t in texts:
+            at = np.unique(np.fromiter((zlib.crc32(w) & (1 << SLOT_BITS) - 1 for w in t), np.int64, len(t)))
+            counts[at] = np.minimum(counts[at], 2) + 1
+        often = (counts >= 3).tobytes()
         number: dict[bytes, int] = {}
-        rows = [np.array([number.setdefault(w, len(number)) for w in t], np.int32) for t in texts]
+        mask = (1 << SLOT_BITS) - 1
+        rows = [np.array([number.setdefault(w, len(number)) for w in t if often[zlib.crc32(w) & mask]], np.int32) for t in texts]
         self.n = len(rows)
         feature = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         self.text = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
-        often = np.bincount(feature, minlength=len(number)) >= 3
-        self.names = [w for w, o in zip(number, often.tolist(), strict=True) if o]
-        keep = often[feature]
-        self.text, self.feature = self.text[keep], (np.cumsum(often, dtype=np.int32) - 1)[feature[keep]]
+        keep = np.bincount(feature, minlength=len(number)) >= 3
+        self.names = [w for w, o in zip(number, keep.tolist(), strict=True) if o]
+        kept = keep[feature]
+        self.text, self.feature = self.text[kept], (np.cumsum(keep, dtype=np.int32) - 1)[feature[kept]]
 
     def odds(self, model: Linear, earlier: np.ndarray) -> np.ndarray:
         weight = np.array([model.words.get(w, 0.0) for w in self.names] or [0.0])
@@ -158,6 +168,16 @@ def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
 
 
+class Features:
+    """The features of bags of words, made anew each time that they are gone through."""
+
+    def __init__(self, bags: list[bytes]):
+        self.bags = bags
+
+    def __iter__(self) -> Iterator[set[bytes]]:
+        return (features(set(bytes(b).split())) for b in self.bags)
+
+
 def fit_chain(texts: Iterable[set[bytes]], labels: np.ndarray, folds: np.ndarray, names: list[str], max_words: int) -> Chain:
     bags = Bags(texts)
     earlier = np.zeros((bags.n, 0), np.float32)
@@ -197,8 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
     so_far = F.sum(F.octet_length("bag").cast("long")).over(Window.orderBy("place", "label_id").rowsBetween(Window.unboundedPreceding, 0))
     pdf: pd.DataFrame = once.withColumn("so_far", so_far).where(F.col("so_far") <= max_train_bytes).drop("so_far").toPandas()
     pdf = pdf.sort_values(["place", "label_id"], ignore_index=True)
-    texts = (features(set(bytes(b).split())) for b in pdf["bag"])
-    return fit_chain(texts, pdf[columns].to_numpy(), (pdf["place"].to_numpy() % folds), [n for n, _ in categories], max_words)
+    return fit_chain(Features(pdf["bag"].tolist()), pdf[columns].to_numpy(), (pdf["place"].to_numpy() % folds), [n for n, _ in categories], max_words)
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
