@@ -2,11 +2,12 @@
 
 ``WordIds`` gives the same ids as ``Tokenizer.encode`` over whole texts. It cuts
 a text where the tokenizer's own pre-tokenizer surely cuts, at a single space
-between two words, and remembers each piece's ids: in two generations, so that
-when the younger is full the elder goes, and words that are met again stay. Pieces of plain letters go
-to the library's BPE model itself, other pieces to its whole tokenizer, and a
-text whose white space isn't that plain goes to the whole tokenizer at once, as
-does one that holds the string of an added token.
+between two words, and remembers each piece's ids. A small memory has two
+generations, of which the elder goes when the younger is full, so words that are
+met again stay; in a large one they are learned again so seldom that this is
+cheaper. Pieces of plain letters go to the library's BPE model itself, other
+pieces to its whole tokenizer, and a text whose white space isn't that plain goes
+to the whole tokenizer at once, as does one that holds an added token's string.
 
 By default a special token's string in a text is that token, as the library has
 it; with ``specials_as_text`` it is ordinary text, so that no document can forge
@@ -16,12 +17,9 @@ a document's end.
 from __future__ import annotations
 
 import json
-import os
 import re
 from array import array
-from collections.abc import Iterable
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 
@@ -29,6 +27,8 @@ import numpy as np
 PLAIN_END = "ɐ"
 #: Words a worker remembers, about 200 bytes each, and those of one text more.
 CACHE_WORDS = 1_200_000
+#: A memory of fewer words than this has two generations.
+AGES_BELOW = 500_000
 TAIL = frozenset(".,;:!?")
 ODD_CONTROLS = re.compile("[\x1c-\x1f]")
 
@@ -41,21 +41,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Word -> its number; the ids of number i are flat[off[i]:off[i + 1]]. -1: its text must go to the whole tokenizer."""
+    """Word -> its number; the ids of number i are flat[off[i]:off[i + 1]]."""
 
     def __init__(self, path: str, max_words: int = CACHE_WORDS, specials_as_text: bool = False):
         super().__init__()
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Tokenizer, models
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        suffix = model.get("end_of_word_suffix") or ""
-        # words of plain letters need the model alone, many of them in one call
-        self.bpe = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **({"end_of_word_suffix": suffix} if suffix else {})))
-        self.bpe.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        extra = {"end_of_word_suffix": model["end_of_word_suffix"]} if model.get("end_of_word_suffix") else {}
+        self.bpe = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **extra)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = specials_as_text
         added = [t for t in spec.get("added_tokens") or [] if not (specials_as_text and t["special"])]
@@ -64,72 +61,52 @@ class WordIds(dict):
         self.spaced = not spec.get("normalizer")  # a piece keeps the space before it; else white space is dropped and case is folded
         self.letters = byte_letters()
         self.space = self.letters[32] if self.spaced else ""
-        # where a word of plain letters begins or ends in a row of ids
-        self.at_edge = np.zeros(max(model["vocab"].values()) + 1, bool)
-        self.at_edge[[i for t, i in model["vocab"].items() if (t.startswith(self.space) if self.spaced else t.endswith(suffix))]] = True
-        self.tails = {c: array("I", self.bpe.encode(c).ids) for c in TAIL}
-        self.max_words = max_words
+        self.tails = {c: self._plain(c) for c in TAIL}
+        self.max_words, self.ages = max_words, max_words < AGES_BELOW
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.flat, self.off = array("I"), array("q", [0])
-        self.elder: tuple[dict[str, int], array, array] = ({}, self.flat, self.off)
+        self.elder = ({}, self.flat, self.off)
 
-    def _add(self, word: str, ids: array) -> None:
+    def _plain(self, word: str, space: str = "") -> list[int]:
+        """The model's ids of a piece in its own letters; ASCII letters and marks stand for themselves."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.bpe.tokenize(space + letters)]
+
+    def _ids(self, word: str) -> list[int] | None:
+        """None: the text must go to the whole tokenizer."""
+        if self.spaced:
+            if not word or word[0].isspace() or word[-1].isspace():
+                return None
+            if word.isalpha() and (word.isascii() or max(word) < PLAIN_END):
+                return self._plain(word, self.space)
+            if word[-1] in TAIL and word[:-1].isalpha() and (word.isascii() or max(word) < PLAIN_END):
+                return self._of(word[:-1]) + self.tails[word[-1]]
+            return self.whole.encode(f" {word}", add_special_tokens=False).ids
+        low = word.lower()
+        if low.isalpha() and (low.isascii() or max(low) < PLAIN_END):
+            return self._plain(low)
+        if low[-1] in TAIL and low[:-1].isalpha() and (low.isascii() or max(low) < PLAIN_END):
+            return self._of(low[:-1]) + self.tails[low[-1]]
+        return self.whole.encode(word, add_special_tokens=False).ids
+
+    def _of(self, word: str) -> list[int]:
+        i = self[word]
+        return self.flat[self.off[i] : self.off[i + 1]].tolist()
+
+    def __missing__(self, word: str) -> int:
+        known, flat, off = self.elder
+        i = known.get(word)
+        ids = self._ids(word) if i is None else flat[off[i] : off[i + 1]] if i >= 0 else None
+        if ids is None:
+            self[word] = -1
+            return -1
         self.flat.extend(ids)
         self.off.append(len(self.flat))
-        self[word] = len(self.off) - 2
-
-    def _plain(self, words: list[str]) -> tuple[array, list[int]]:
-        """(ids of words of plain letters one after another, where each word's end)."""
-        space, letters = self.space, self.letters
-        line = " ".join([space + w if w.isascii() else space + w.encode().decode("latin-1").translate(letters) for w in words])
-        ids = array("I", self.bpe.encode_batch_fast([line])[0].ids)
-        edges = np.flatnonzero(self.at_edge[np.frombuffer(ids, np.uint32)]) if ids else np.zeros(0, np.int64)
-        ends = [*edges[1:].tolist(), len(ids)] if self.spaced else (edges + 1).tolist()
-        if len(ends) != len(words):
-            raise ValueError("a word's ids don't tell where it begins or ends")
-        return ids, ends
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Numbers for words that have none yet: from the elder generation, from the model or from the whole tokenizer."""
-        known, flat, off = self.elder
-        plain: list[str] = []
-        cores: list[str] = []
-        tails: list[str] = []
-        for word in words:
-            i = known.get(word)
-            if i is not None:
-                if i < 0:
-                    self[word] = -1
-                else:
-                    self._add(word, flat[off[i] : off[i + 1]])
-                continue
-            if self.spaced and (not word or word[0].isspace() or word[-1].isspace()):
-                self[word] = -1
-                continue
-            low = word if self.spaced else word.lower()
-            tail = low[-1] if low[-1] in TAIL else ""
-            core = low[:-1] if tail else low
-            if core.isalpha() and (core.isascii() or max(core) < PLAIN_END):
-                plain.append(word)
-                cores.append(core)
-                tails.append(tail)
-            else:
-                self._add(word, array("I", self.whole.encode(f" {word}" if self.spaced else word, add_special_tokens=False).ids))
-        if plain:
-            ids, ends = self._plain(cores)
-            begin = 0
-            flat, off, marks, n = self.flat, self.off, self.tails, len(self.off) - 1
-            for word, tail, end in zip(plain, tails, ends, strict=True):
-                flat.extend(ids[begin:end])
-                if tail:
-                    flat.extend(marks[tail])
-                off.append(len(flat))
-                self[word] = n
-                n += 1
-                begin = end
+        self[word] = n = len(self.off) - 2
+        return n
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         off = np.frombuffer(self.off, dtype=np.int64)
@@ -145,10 +122,11 @@ class WordIds(dict):
             return np.zeros(0, np.uint32)
         if any(a in text for a in self.added) or self.added_folded and any(a in text.lower() for a in self.added_folded):
             return self._all(text)
-        if 2 * len(self) > self.max_words:
-            self.elder = (dict(self), self.flat, self.off)
-            self.clear()
-            self.flat, self.off = array("I"), array("q", [0])
+        if len(self) > self.max_words // (1 + self.ages):
+            elder = (dict(self), self.flat, self.off)
+            self.forget()
+            if self.ages:
+                self.elder = elder
         if self.spaced:
             first, *rest = text.split(" ")
             if not first or first[0].isspace() or first[-1].isspace():
@@ -157,12 +135,7 @@ class WordIds(dict):
             if ODD_CONTROLS.search(text):
                 return self._all(text)
             first, rest = "", text.split()
-        numbers = np.fromiter(map(self.get, rest, repeat(-2)), np.int64, len(rest))
-        new = np.flatnonzero(numbers == -2).tolist()
-        if new:
-            words = [rest[i] for i in new]
-            self.learn(dict.fromkeys(words))
-            numbers[new] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        numbers = np.fromiter(map(self.__getitem__, rest), np.int64, len(rest))
         if len(numbers) and numbers.min() < 0:
             return self._all(text)
         ids = self._gather(numbers)
