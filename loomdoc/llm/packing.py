@@ -50,11 +50,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int
     """The pieces of each row of docs, with their ids if asked for. keep_words: a worker remembers words from task to task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer, cache_words)
+        words, end = word_ids(tokenizer, cache_words), np.array([end_id], np.uint32)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(words.encode(text), np.uint32(end_id)).astype("<u4")
+                ids = np.concatenate((words.encode(text), end), dtype="<u4")
                 for i, (start, n) in enumerate(cut(len(ids), room)):
                     raw = ids[start : start + n].tobytes()
                     for to, value in zip(out, (doc_id, i, start, n, zlib.crc32(raw), raw if with_ids else None), strict=True):
@@ -71,47 +71,56 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int
 
 
 class Bins:
-    """Open sequences of one bucket, as arrays of what they have left."""
+    """Open sequences of one bucket, in order of opening: what each has left of every capacity."""
 
-    def __init__(self, room: np.ndarray, weights: np.ndarray, rule: str):
+    def __init__(self, room: np.ndarray, weights: np.ndarray, rule: str, most: int):
         self.room, self.weights, self.rule = room, weights / room**2, rule
-        self.left = np.empty((0, len(room)))
-        self.names = np.empty(0, np.int64)
-        self.opened = 0
-
-    def place(self, need: np.ndarray) -> int:
-        best = -1
-        if len(self.left):
-            fits = np.flatnonzero((self.left >= need).all(axis=1))
-            if len(fits):
-                left = self.left[fits]
-                score = ((left - need) ** 2 @ self.weights) if self.rule == "norm" else -(left * need @ self.weights)
-                best = int(fits[np.argmin(score)])
-        if best < 0:
-            self.left = np.vstack([self.left, self.room])
-            self.names = np.append(self.names, self.opened)
+        self.left = np.empty((len(room), most))  # by capacity
+        self.names = np.empty(most, np.int64)
+        self.open = self.opened = 0
+
+    def place(self, need: tuple[float, ...]) -> int:
+        left, w = self.left, self.weights
+        # tokens tell most sequences that can't
+        fits = np.flatnonzero(left[0, : self.open] >= need[0])
+        if len(fits):
+            fits = fits[(left[1, fits] >= need[1]) & (left[2, fits] >= need[2])]
+        if len(fits):
+            t, d, c = left[0, fits], left[1, fits], left[2, fits]
+            if self.rule == "norm":
+                score = w[0] * (t - need[0]) ** 2 + w[1] * (d - need[1]) ** 2 + w[2] * (c - need[2]) ** 2
+            else:
+                score = -(w[0] * need[0] * t + w[1] * need[1] * d + w[2] * need[2] * c)
+            best = int(fits[np.argmin(score)])
+        else:
+            best = self.open
+            left[:, best] = self.room
+            self.names[best] = self.opened
+            self.open += 1
             self.opened += 1
-            best = len(self.left) - 1
-        self.left[best] -= need
+        left[:, best] -= need
         return int(self.names[best])
 
     def close(self, tokens: int) -> None:
         """Forget sequences with room for fewer tokens, or for no further document."""
-        stay = (self.left[:, 0] >= tokens) & (self.left[:, 1] >= 1)
-        if not stay.all():
-            self.left, self.names = self.left[stay], self.names[stay]
+        n = self.open
+        stay = np.flatnonzero((self.left[0, :n] >= tokens) & (self.left[1, :n] >= 1))
+        if len(stay) < n:
+            self.open = len(stay)
+            self.left[:, : self.open] = self.left[:, stay]
+            self.names[: self.open] = self.names[stay]
 
 
 def best_fit(lengths: np.ndarray, room: int, max_docs: int | None = None, max_cost: int | None = None, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> np.ndarray:
     """The sequence (from 0) of each piece."""
     max_cost = max_cost or room * room
-    bins = Bins(np.array([room, max_docs or room, max_cost], float), np.array(weights), rule)
+    bins = Bins(np.array([room, max_docs or room, max_cost], float), np.array(weights), rule, len(lengths) + 1)
     out = np.empty(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
     least = int(lengths.min()) if len(lengths) else 0
     for n, i in enumerate(order):
         k = int(lengths[i])
-        out[i] = bins.place(np.array([k, 1, min(k * k, max_cost)], float))
+        out[i] = bins.place((k, 1, min(k * k, max_cost)))
         if not n % 64:
             bins.close(least)
     return out

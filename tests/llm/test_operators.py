@@ -448,9 +448,9 @@ def test_best_fit_against_brute_force(rule, limits):
 
 def test_documents_and_cost_decide_among_equal_rooms():
     """What is left of tokens is the same in two sequences; the one whose other capacities fit better is taken."""
-    bins = packing.Bins(np.array([100.0, 100.0, 10_000.0]), np.array([1.0, 0.3, 0.3]), "norm")
-    bins.left, bins.names, bins.opened = np.array([[50.0, 98.0, 9000.0], [50.0, 60.0, 4000.0]]), np.array([0, 1]), 2
-    assert bins.place(np.array([10.0, 1, 100.0])) == 1
+    bins = packing.Bins(np.array([100.0, 100.0, 10_000.0]), np.array([1.0, 0.3, 0.3]), "norm", 3)
+    bins.left[:, :2], bins.names[:2], bins.open, bins.opened = np.array([[50.0, 98.0, 9000.0], [50.0, 60.0, 4000.0]]).T, [0, 1], 2, 2
+    assert bins.place((10, 1, 100)) == 1
 
 
 def test_documents_go_into_few_sequences(spark):
