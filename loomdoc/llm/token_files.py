@@ -203,7 +203,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, base: int = 4
         from pyspark import TaskContext
 
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        words = word_ids(tokenizer)
+        words, end = word_ids(tokenizer), np.array([end_id], np.uint32)
         held: list[np.ndarray] = []
         names: list[int | None] = []
         n = 0
@@ -213,7 +213,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, base: int = 4
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append(np.append(words.encode(text), np.uint32(end_id)))
+                held.append(np.concatenate((words.encode(text), end)))
                 names.append(doc_id)
                 n += len(held[-1])
                 if n >= shard_tokens:

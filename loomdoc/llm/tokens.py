@@ -17,7 +17,6 @@ a document's end.
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from functools import cache
 
@@ -30,7 +29,8 @@ CACHE_WORDS = 1_200_000
 #: A memory of fewer words than this has two generations.
 AGES_BELOW = 500_000
 TAIL = frozenset(".,;:!?")
-ODD_CONTROLS = re.compile("[\x1c-\x1f]")
+#: White space to Python and not to the tokenizers.
+ODD_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def byte_letters() -> dict[int, str]:
@@ -68,7 +68,8 @@ class WordIds(dict):
     def forget(self) -> None:
         self.clear()
         self.flat, self.off = array("I"), array("q", [0])
-        self.elder = ({}, self.flat, self.off)
+        self.elder: tuple[dict[str, int], array, array] = ({}, self.flat, self.off)
+        self.firsts: dict[str, np.ndarray] = {}  # words that begin a text, without a space before them
 
     def _plain(self, word: str, space: str = "") -> list[int]:
         """The model's ids of a piece in its own letters; ASCII letters and marks stand for themselves."""
@@ -132,14 +133,19 @@ class WordIds(dict):
             if not first or first[0].isspace() or first[-1].isspace():
                 return self._all(text)
         else:
-            if ODD_CONTROLS.search(text):
+            if any(c in text for c in ODD_CONTROLS):
                 return self._all(text)
             first, rest = "", text.split()
         numbers = np.fromiter(map(self.__getitem__, rest), np.int64, len(rest))
         if len(numbers) and numbers.min() < 0:
             return self._all(text)
         ids = self._gather(numbers)
-        return np.concatenate([np.array(self.whole.encode(first, add_special_tokens=False).ids, np.uint32), ids]) if first else ids
+        if not first:
+            return ids
+        begin = self.firsts.get(first)
+        if begin is None:
+            begin = self.firsts[first] = self._all(first)
+        return np.concatenate([begin, ids])
 
     def _all(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
