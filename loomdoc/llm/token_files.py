@@ -38,7 +38,7 @@ from .common import LAST_ID, col, materialize, partitions, whole
 from .tokens import word_ids
 
 MAGIC = b"RPR1"
-SLOT_BITS = 20
+SLOT_BITS = 18
 
 
 def slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:

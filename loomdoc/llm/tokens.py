@@ -135,7 +135,9 @@ class WordIds(dict):
         else:
             if any(c in text for c in ODD_CONTROLS):
                 return self._all(text)
-            first, rest = "", text.split()
+            # ASCII is folded at once, so a word is known however it was written, unless that makes an added token's string
+            low = text.lower() if text.isascii() else text
+            first, rest = "", (text if any(a in low for a in self.added) else low).split()
         numbers = np.fromiter(map(self.__getitem__, rest), np.int64, len(rest))
         if len(numbers) and numbers.min() < 0:
             return self._all(text)
