@@ -144,6 +144,10 @@ def test_sql_functions(spark):
     register(spark)
     rows = spark.sql("select tag, classes, attrs from html_nodes('<p class=\"a b\" x>t')").collect()
     assert [r.tag for r in rows] == [None, "p", None] and rows[1].classes == ["a", "b"] and rows[1].attrs[1].value is None
+    pages = "(select '<ul><li>a<li class=x>b</ul>' h union all select null)"
+    found = spark.sql(f"select s.* from {pages}, lateral html_select(h, 'ul > li + li') s").collect()
+    assert [tuple(r) for r in found] == [(4, "li", "b", "b", '<li class="x">b</li>')]
+    assert [r.text_content for r in spark.sql(f"select s.* from {pages}, lateral html_xpath(h, '/ul/li[1]') s").collect()] == ["a"]
     assert [r.kind for r in spark.sql("select kind from html_tokens('<p>t</p>')").collect()] == ["open", "text", "close"]
     row = spark.sql("select html_text('<b>a</b>&lt;') t, html_escape('<') e, html_unescape('&copy;') u, detect_encoding(X'FFFE') d, html_decode(X'EFBBBF41') h").first()
     assert tuple(row) == ("a<", "&lt;", "©", "UTF-16LE", "A")
