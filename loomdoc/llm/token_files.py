@@ -88,7 +88,7 @@ def merge_round(symbols: np.ndarray, last: np.ndarray, next_symbol: int, most: i
 def compress(docs: list[np.ndarray], ids: list[int | None], base: int, rounds: int | None = None, min_count: int = 16, per_round: int = 1 << 14) -> bytes:
     """A shard's image. Symbols are of 16 bits, and run out at 65,536, unless plain ids alone need more. rounds, if given, are the most there are."""
     sizes = np.array([len(d) for d in docs], np.int64)
-    symbols = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
+    symbols = np.concatenate(docs).astype(np.uint32, copy=False) if docs else np.zeros(0, np.uint32)
     base = max(base, int(symbols.max(initial=0)) + 1)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(sizes) - 1] = True
@@ -242,7 +242,8 @@ def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                 shard = Shard(image.as_py())
                 ids = shard.all().astype("<u4")
                 cuts = [*shard.token.tolist(), len(ids)]
-                raw = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+                view = memoryview(ids.tobytes())
+                raw = [view[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
                 cols = [
                     pa.array([None if i == LAST_ID else i for i in shard.doc_ids.tolist()], pa.int64()),
                     pa.array([start + a for a in cuts[:-1]], pa.int64()),
@@ -250,6 +251,6 @@ def read_shards(shards: DataFrame, with_ids: bool = False) -> DataFrame:
                     pa.array([zlib.crc32(x) for x in raw], pa.int64()),
                 ]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * with_ids, names + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array([bytes(x) for x in raw], pa.binary())] if with_ids else []), names + ["ids"] * with_ids)
 
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

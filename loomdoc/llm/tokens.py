@@ -99,7 +99,7 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> int:
         known, flat, off = self.elder
-        i = known.get(word)
+        i = known.get(word) if known else None
         ids = self._ids(word) if i is None else flat[off[i] : off[i + 1]] if i >= 0 else None
         if ids is None:
             self[word] = -1
