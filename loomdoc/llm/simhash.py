@@ -136,7 +136,8 @@ def links(nodes: DataFrame, threshold: int) -> DataFrame:
     home = at_anchors(nodes, 0).select("slot", "anchor", F.col("node").alias("a"), F.col("fp").alias("fp_a"))
     replica = at_anchors(nodes, threshold).select("slot", "anchor", F.col("node").alias("b"), F.col("fp").alias("fp_b"))
     near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= threshold
-    return home.join(replica, ["slot", "anchor"]).where((F.col("fp_a") < F.col("fp_b")) & near).select("a", "b")
+    # the planner takes replicas to be as few as nodes and would send all of them to the driver to broadcast them
+    return home.hint("merge").join(replica, ["slot", "anchor"]).where((F.col("fp_a") < F.col("fp_b")) & near).select("a", "b")
 
 
 def normal_words(text: str) -> list[bytes]:

@@ -205,6 +205,13 @@ def test_links_are_complete(spark, threshold):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_replicas_are_never_broadcast(spark):
+    """The default threshold takes a small table of nodes for small replicas."""
+    nodes = spark.range(2000).select(F.lit(0).alias("slot"), F.col("id").alias("node"), F.xxhash64("id").alias("fp"))
+    plan = simhash.links(nodes, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_golay_code_is_perfect():
     _, _, leader, *_ = simhash.golay(0)
     assert len(set(leader.tolist())) == 2048 and max(int(x).bit_count() for x in leader) == 3
