@@ -8,17 +8,22 @@ times its size, so only suffixes that can matter are sorted:
    next 16 bytes is the window's anchor. Equal windows have their anchor at the
    same place, so it is enough to sort the suffixes that begin at anchors (one
    position in 18) with the bytes of the windows that they are the anchor of.
-2. As in prefix-doubling merge sort, what is unique by its first 16 bytes is
-   found by 32-bit fingerprints before anything is sorted and is not exchanged.
-   A clash of fingerprints only lets more through.
+2. As in prefix-doubling merge sort, what is unique by a longer prefix is found by
+   32-bit fingerprints before anything is sorted and is not exchanged. A window
+   holds its anchor's 16 bytes and 17 more after them or 18 before them, so an
+   anchor has a fingerprint for its windows of each of these two sides; windows of
+   a side that is unique go. A clash of fingerprints only lets more through.
 3. Each chunk of documents sorts its remaining suffixes into runs, equal ones
    once with their smallest document, and sends each range of them front-coded:
    the length of the prefix shared with the suffix before, then the rest.
-4. Each range merges its runs with a loser tree whose players carry the length of
-   the prefix they share with the last winner. The longer one wins unseen; bytes
-   are compared only from there on, so no known prefix is compared again.
+4. Each range merges the suffixes of a head, from the runs that have it, with a loser
+   tree whose players carry the length of the prefix they share with the last winner.
+   The longer one wins unseen; bytes are compared only from there on, so no known
+   prefix is compared again. A suffix costs the logarithm of the runs that have its
+   head, whatever the number of all runs is.
 5. Where suffixes with the same head come out together, every window's smallest
-   document is known; a chunk gets back one bit per suffix and window.
+   document is known, of a few suffixes by the prefixes that the tree gives and what
+   is before the anchor; a chunk gets back one bit per suffix and window.
 
 Order is by a hash of the head, then by bytes, so ranges are even without
 sampling. A string in a third of all documents is one suffix per chunk. All of
@@ -56,6 +61,8 @@ BLOCK = 1 << 18
 POSITION_BITS = 24
 CHUNK_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
+#: So many suffixes of one head are compared two by two, more of them by a table of their windows.
+FEW = 8
 
 U = np.uint64
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -88,10 +95,19 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def document_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, last window, identity) of each run of windows with one anchor. Long texts go block by block."""
+def beside(identity: np.ndarray, h: np.ndarray, side: int) -> np.ndarray:
+    """A hash of a head's identity and of the hash of the bytes on one side of it."""
+    x = (identity ^ (h + U(side)) * U(0x9E3779B97F4A7C15)) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(32))
+
+
+def document_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(anchor, first window, last window, identity, right, left) of each run of windows with one anchor: hashes of its head, and of that
+    with the bytes that all windows have that begin from length - HEAD over 2 bytes before the anchor on, or that begin earlier.
+    Long texts go block by block."""
     windows = len(data) - length + 1
-    found: tuple[list, ...] = ([], [], [], [])
+    half = (length - HEAD) // 2
+    found: tuple[list, ...] = ([], [], [], [], [], [])
     for at in range(0, windows, BLOCK):
         n = min(BLOCK, windows - at)
         h = head_hashes(data[at : at + n + length - 1])
@@ -102,9 +118,12 @@ def document_anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
         p = anchor[first]
         # anchors are the least hashes, so their identity is hashed again
         mixed = (h[p] ^ (h[p] >> U(33))) * U(0x94D049BB133111EB)
-        for to, x in zip(found, (p + at, first + at, last + at, mixed ^ (mixed >> U(31))), strict=True):
+        identity = mixed ^ (mixed >> U(31))
+        right = beside(identity, h[np.minimum(p + (length - HEAD - half), len(h) - 1)], 1)
+        left = beside(identity, h[np.maximum(p - half - 1, 0)], 2)
+        for to, x in zip(found, (p + at, first + at, last + at, identity, right, left), strict=True):
             to.append(x)
-    kinds = (np.int64, np.int64, np.int64, U)  # of a text without windows, too: mixed kinds would meet as floats
+    kinds = (np.int64, np.int64, np.int64, U, U, U)  # of a text without windows, too: mixed kinds would meet as floats
     return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, kinds, strict=True))  # type: ignore[return-value]
 
 
@@ -120,11 +139,15 @@ class Chunk:
         self.length, self.ranges = length, ranges
         parts = [document_anchors(np.frombuffer(d, np.uint8), length) for d in self.data]
         self.doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        self.p, self.first, self.last, self.identity = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        self.p, self.first, self.last, self.identity, right, left = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        del parts
+        # where the windows of the right side begin
+        self.turn = self.p - (length - HEAD) // 2
+        self.right, self.left = np.flatnonzero(self.last >= self.turn), np.flatnonzero(self.first < self.turn)
         # range in the high half, fingerprint in the low one
         self.range = ((self.identity >> U(32)) * U(ranges)) >> U(32)
-        self.code = self.range << U(32) | (self.identity & U(0xFFFFFFFF))
-        self.unique, self.at = np.unique(self.code, return_inverse=True)
+        codes = [self.range[at] << U(32) | (x[at] & U(0xFFFFFFFF)) for at, x in ((self.right, right), (self.left, left))]
+        self.unique, self.at = np.unique(np.concatenate(codes), return_inverse=True)
 
     def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
         """(range, its fingerprints in order)."""
@@ -135,7 +158,8 @@ class Chunk:
                 yield int(codes[0] >> U(32)), (codes & U(0xFFFFFFFF)).astype("<u4")
 
     def suffixes(self, bitmaps: pa.Table) -> dict[int, tuple[list[bytes], list[list[int]]]]:
-        """By range: the sorted keys of the suffixes that others may share, and the entries (indices of anchors) of each.
+        """By range: the sorted keys of the suffixes that others may share, and the entries (indices of anchors) of each. From now on
+        first and last are those of the windows that others may share.
         A key is the head's identity, the bytes from the anchor on, the bytes before it, and how many those and the windows are."""
         shared = np.zeros(len(self.unique), bool)
         of = (self.unique >> U(32)).astype(np.int64)
@@ -144,11 +168,16 @@ class Chunk:
             shared[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(b - a)).astype(bool)
         if len(self.at):  # or by two documents of this chunk
             low, high = np.full(len(self.unique), len(self.data)), np.full(len(self.unique), -1)
-            np.minimum.at(low, self.at, self.doc)
-            np.maximum.at(high, self.at, self.doc)
+            docs = self.doc[np.concatenate([self.right, self.left])]
+            np.minimum.at(low, self.at, docs)
+            np.maximum.at(high, self.at, docs)
             shared |= low < high
+        right, left = np.zeros(len(self.p), bool), np.zeros(len(self.p), bool)
+        right[self.right], left[self.left] = np.split(shared[self.at], [len(self.right)]) if len(self.at) else (False, False)
+        self.first = np.where(left, self.first, np.maximum(self.first, self.turn))
+        self.last = np.where(right, self.last, np.minimum(self.last, self.turn - 1))
         found: defaultdict[int, dict[bytes, list[int]]] = defaultdict(dict)
-        chosen = np.flatnonzero(shared[self.at]) if len(self.at) else self.at
+        chosen = np.flatnonzero(right | left)
         span, texts = self.length, self.data
         heads = self.identity[chosen].astype(">u8").tobytes()
         columns = (self.range, self.doc, self.p, self.first, self.last, self.p - self.first, self.last - self.first)
@@ -212,8 +241,8 @@ def front_decode(run: bytes) -> tuple[list[bytes], list[int], list[int]]:
     return keys, shared, docs
 
 
-def merge(runs: list[tuple[list[bytes], list[int], list[int]]]) -> Iterator[tuple[bytes, int, int, int]]:
-    """(key, run, place in the run, prefix shared with the key before) of all runs in order.
+def merge(runs: list[tuple[list[bytes], list[int], list[int]]], known: int = 0) -> Iterator[tuple[bytes, int, int, int]]:
+    """(key, run, place in the run, prefix shared with the key before) of all runs in order; all keys share `known` bytes.
     A loser tree: each inner node keeps the loser of its match and the prefix that it shares with the last winner overall."""
     k = 1
     while k < len(runs):
@@ -232,7 +261,7 @@ def merge(runs: list[tuple[list[bytes], list[int], list[int]]]) -> Iterator[tupl
         if ha < 0 or hb < 0:
             win, lose = ((a, ha), (b, hb)) if hb < 0 else ((b, hb), (a, ha))
         else:
-            n = shared_prefix(now[a], now[b])
+            n = shared_prefix(now[a], now[b], known)
             win, lose = ((a, 0), (b, n)) if now[a] <= now[b] else ((b, 0), (a, n))
         loser[node], prefix[node] = lose
         return win
@@ -280,28 +309,106 @@ def window_documents(group: list[tuple[bytes, int]], length: int) -> list[list[i
     return [[best[w] for w in own] for own in windows]
 
 
+def shared_suffix(a: bytes, b: bytes) -> int:
+    """Length of the common suffix."""
+    n = min(len(a), len(b))
+    diff = int.from_bytes(a[len(a) - n :], "big") ^ int.from_bytes(b[len(b) - n :], "big")
+    return (diff & -diff).bit_length() - 1 >> 3 if diff else n
+
+
+def shared_windows(keys: list[bytes], shared: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """For each of a few distinct sorted keys of one head: (another key's index, bits of the own windows that it has too).
+    shared: the length of the prefix shared with the key before."""
+    span = length - HEAD
+    out: list[list[tuple[int, int]]] = [[] for _ in keys]
+    lefts, counts = [k[-2] for k in keys], [k[-1] + 1 for k in keys]
+    after = [len(k) - 10 - HEAD - left for k, left in zip(keys, lefts, strict=True)]
+    for i, key in enumerate(keys):
+        known = len(key)
+        for j in range(i + 1, len(keys)):
+            known = min(known, shared[j])
+            if known - 8 - HEAD + lefts[i] < span:  # those that follow share no more
+                break
+            right = min(known - 8 - HEAD, after[i], after[j])
+            # a window begins so many bytes before the anchor
+            low = max(span - right, lefts[i] - counts[i] + 1, lefts[j] - counts[j] + 1)
+            if low > min(lefts[i], lefts[j]):
+                continue
+            high = shared_suffix(key[-2 - lefts[i] : -2], keys[j][-2 - lefts[j] : -2])
+            if low <= high:
+                bits = (1 << high - low + 1) - 1
+                out[i].append((j, bits << lefts[i] - high))
+                out[j].append((i, bits << lefts[j] - high))
+    return out
+
+
+def merged_heads(decoded: list[tuple[list[bytes], list[int], list[int]]]) -> Iterator[list[tuple[bytes, int, list[tuple[int, int]]]]]:
+    """Of each head that comes more than once: its keys in order, the prefix shared with the key before, and where each is (run, place)."""
+    sizes = [len(d[0]) for d in decoded]
+    heads = np.concatenate([np.frombuffer(b"".join([k[:8] for k in d[0]]), ">u8") for d in decoded]).astype(U)
+    order = np.argsort(heads, kind="stable")  # a head's keys by run and place
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(heads[order]) != 0])) if len(order) else order
+    ends = np.append(begins[1:], len(order))
+    often = ends - begins > 1
+    runs = np.repeat(np.arange(len(sizes)), sizes)[order].tolist()
+    places = (np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order].tolist()
+    for begin, end in zip(begins[often].tolist(), ends[often].tolist(), strict=True):
+        if end - begin == 2 and runs[begin] != runs[begin + 1]:  # a tree of two leaves is one match
+            x, y = (runs[begin], places[begin]), (runs[begin + 1], places[begin + 1])
+            a, b = decoded[x[0]][0][x[1]], decoded[y[0]][0][y[1]]
+            if a == b:
+                yield [(a, 0, [x, y])]
+            elif (n := shared_prefix(a, b, 8)) >= 8 + HEAD:
+                yield [(a, 0, [x]), (b, n, [y])] if a < b else [(b, 0, [y]), (a, n, [x])]
+            continue
+        of, parts = [], []
+        at = begin
+        while at < end:
+            run, to = runs[at], at + 1
+            while to < end and runs[to] == run:
+                to += 1
+            low, high = places[at], places[at] + to - at
+            of.append((run, low))
+            parts.append((decoded[run][0][low:high], decoded[run][1][low:high], []))
+            at = to
+        group: list[tuple[bytes, int, list[tuple[int, int]]]] = []
+        # a key's first 24 bytes are its head's identity and the head
+        for key, part, place, shared in merge(parts, 8):
+            run, low = of[part]
+            if group and shared < 8 + HEAD:
+                yield group
+                group = []
+            if group and shared == len(key) == len(group[-1][0]):
+                group[-1][2].append((run, low + place))
+            else:
+                group.append((key, shared, [(run, low + place)]))
+        yield group
+
+
 def merge_range(runs: list[bytes], length: int) -> list[bytes]:
     """Of each run, an unsigned 64-bit number per key: bit t is set if the key's window t has a smaller document than the run has for it."""
     decoded = [front_decode(r) for r in runs]
     docs = [d[2] for d in decoded]
     masks = [np.zeros(len(d[0]), "<u8") for d in decoded]
-    group: list[tuple[bytes, list[tuple[int, int]]]] = []
-
-    def settle() -> None:
-        total = sum(len(where) for _, where in group)
-        if total < 2:
-            return
-        if len(group) == 1:
-            key, where = group[0]
-            least = min(docs[r][i] for r, i in where)
-            every = (1 << key[-1] + 1) - 1
-            for r, i in where:
-                if docs[r][i] > least:
-                    masks[r][i] = every
-            return
-        lows = [min(docs[r][i] for r, i in where) for _, where in group]
-        smallest = window_documents([(key, low) for (key, _), low in zip(group, lows, strict=True)], length)
-        for (_, where), best in zip(group, smallest, strict=True):
+    for group in merged_heads(decoded):
+        lows = [min([docs[r][i] for r, i in where]) for _, _, where in group]
+        if len(group) <= FEW:
+            others = [[]] if len(group) == 1 else shared_windows([key for key, _, _ in group], [shared for _, shared, _ in group], length)
+            for (key, _, where), low, other in zip(group, lows, others, strict=True):
+                for r, i in where:
+                    mine = docs[r][i]
+                    if mine > low:
+                        masks[r][i] = (1 << key[-1] + 1) - 1
+                        continue
+                    bits = 0
+                    for j, has in other:
+                        if lows[j] < mine:
+                            bits |= has
+                    if bits:
+                        masks[r][i] = bits
+            continue
+        smallest = window_documents([(key, low) for (key, _, _), low in zip(group, lows, strict=True)], length)
+        for (_, _, where), best in zip(group, smallest, strict=True):
             for r, i in where:
                 mine = docs[r][i]
                 bits = 0
@@ -310,17 +417,6 @@ def merge_range(runs: list[bytes], length: int) -> list[bytes]:
                         bits |= 1 << t
                 if bits:
                     masks[r][i] = bits
-
-    # a key's first 24 bytes are its head's identity and the head
-    for key, run, i, shared in merge(decoded):
-        if shared < 8 + HEAD:
-            settle()
-            group = [(key, [(run, i)])]
-        elif group and shared == len(key) == len(group[-1][0]):
-            group[-1][1].append((run, i))
-        else:
-            group.append((key, [(run, i)]))
-    settle()
     return [m.tobytes() for m in masks]
 
 

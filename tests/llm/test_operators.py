@@ -150,6 +150,57 @@ def test_loser_tree():
         assert all(h == suffix_dedup.shared_prefix(a[0], b[0]) for a, b, h in zip(got, got[1:], [g[3] for g in got[1:]]))
 
 
+def test_phrases_shorter_than_a_window_are_not_exchanged():
+    rng = __import__("random").Random(8)
+    texts = [rng.randbytes(90).hex() + " a phrase of 27 bytes only " + rng.randbytes(90).hex() for _ in range(200)]
+    table = __import__("pyarrow").table({"doc_id": list(range(200)), "text": texts})
+    chunk = suffix_dedup.Chunk(table, 50, 1)
+    none = __import__("pyarrow").table({"range": [0], "bits": [bytes(len(chunk.unique) // 8 + 1)]})
+    assert not chunk.suffixes(none)
+
+
+def made_runs(n, per_head, seed):
+    """Runs of n whose heads are in so many of them each, with tails that are equal in part."""
+    rng = __import__("random").Random(seed)
+    keys = [set() for _ in range(n)]
+    for _ in range(1500):
+        head = rng.randbytes(8 + suffix_dedup.HEAD)
+        text = rng.randbytes(68)
+        for run in rng.sample(range(n), per_head):
+            body = bytearray(text)
+            body[rng.randrange(68)] ^= 1
+            left, more = rng.randrange(35), rng.randrange(20)
+            more = min(more, left)
+            after = 34 - left + more
+            keys[run].add(head + bytes(body[34 : 34 + after]) + bytes(body[34 - left : 34]) + bytes([left, more]))
+    return [suffix_dedup.front_code(sorted(k), np.array([rng.randrange(50) for _ in k], np.int64)) for k in keys]
+
+
+def test_more_runs_dont_make_a_head_cost_more(monkeypatch):
+    calls = []
+    real = suffix_dedup.shared_prefix
+    for n in (4, 256):
+        runs = made_runs(n, 2, n)
+        calls.append(0)
+
+        def counted(*args):
+            calls[-1] += 1
+            return real(*args)
+
+        monkeypatch.setattr(suffix_dedup, "shared_prefix", counted)
+        suffix_dedup.merge_range(runs, 50)
+        monkeypatch.setattr(suffix_dedup, "shared_prefix", real)
+    assert calls[1] <= 1.1 * calls[0]
+
+
+def test_few_suffixes_are_compared_like_many(monkeypatch):
+    runs = made_runs(12, 6, 1)
+    few = suffix_dedup.merge_range(runs, 50)
+    assert any(any(m) for m in few)
+    monkeypatch.setattr(suffix_dedup, "FEW", 0)
+    assert suffix_dedup.merge_range(runs, 50) == few
+
+
 # 3
 
 
