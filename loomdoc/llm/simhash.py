@@ -16,8 +16,10 @@ many rows it has. A component's name goes back to its fingerprints, and from tho
 to the rows, in parts where they are many (``common.hot_keys``).
 
 ``near_duplicates`` finds documents whose sets of five-word shingles have a
-Jaccard similarity of 0.8 or more. A fingerprint of whole texts can't: at 0.8 a
-copy differs in too many bits. There a document has ``bands`` keys, each of
+Jaccard similarity of 0.8 or more. First, SimHash fingerprints of those sets that differ
+in ``bits`` at most are linked at anchors as above, and links are held to the exact
+similarity. That can't be all: at 0.8 a copy differs in more bits. For what
+fingerprints have not connected, a document has ``bands`` keys, each of
 ``per_band`` minima of its shingle set under as many random orders, and documents
 that share a key are candidates; candidates are then held to the exact
 similarity. A pair at similarity s is missed by all keys with a chance of
@@ -245,15 +247,39 @@ def in_bands(sets: DataFrame, bands: int, per_band: int) -> DataFrame:
     return sets.select("node", "hashes").mapInArrow(run, "key long, node long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 40, per_band: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def set_fingerprints(sets: DataFrame) -> DataFrame:
+    """(node, fp) of every set; the empty set has 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [majority(mixed(hashes.values.to_numpy().view(np.uint32).astype(np.uint64), 5)) for hashes in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["node", "fp"])
+        tidy()
+
+    return sets.select("node", "hashes").mapInArrow(run, "node long, fp long")
+
+
+def fingerprint_links(sets: DataFrame, bits: int) -> DataFrame:
+    """(a, b): of each fingerprint the smallest node with all others of it, and with the smallest of each that differs in at most so many bits."""
+    fps = materialize(set_fingerprints(sets), "set-fingerprints")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("node").alias("first_id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    near = links(nodes.select(F.lit(0).alias("slot"), F.col("first_id").alias("node"), "fp"), bits)
+    hot = hot_keys(nodes, "fp")
+    same = salted(fps, "fp", hot, "node").join(replicated(nodes.where("n > 1").drop("n"), "fp", hot), ["fp", "salt"])
+    same = same.where("node <> first_id").select(F.col("first_id").alias("a"), F.col("node").alias("b"))
+    return same.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 40, per_band: int = 5, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every id that has a near duplicate."""
     sets = materialize(shingle_sets(docs, shingle, id_col, text_col), "shingles")
+    alike = materialize(fingerprint_links(sets, bits), "fingerprint-links")
+    near = materialize(verified(sets, alike, similarity, alike.count()), "near")
+    roots = materialize(components(near), "roots")
     keys = materialize(in_bands(sets, bands, per_band), "band-keys")
     often = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
     live = materialize(keys.join(often, "key", "left_semi"), "shared-keys")
     shared = materialize(sets.join(live.select("node").distinct(), "node", "left_semi"), "shared-shingles")
-    near = materialize(live.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "near")
-    roots = components(near)
     for i in range(PIVOTS + 1):
         n = live.count()
         live = materialize(undecided(live, roots, n), "undecided", most_rows=n)

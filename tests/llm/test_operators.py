@@ -371,6 +371,28 @@ def test_near_duplicates_around_a_middle_id(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == dict.fromkeys(range(300), 0)
 
 
+def test_near_dedup_links_fingerprints_at_anchors(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = __import__("random").Random(12)
+    rows = []
+    for g in range(60):
+        words = cases.prose(rng, 500).split(" ")
+        rows += [(len(rows) + c, " ".join(edited(rng, words, c)), "en", "s", 0) for c in range(3)]
+    df = cases.frame(spark, rows=rows)
+    sets = simhash.shingle_sets(df, 5, "doc_id", "text")
+    fps = {r.node: r.fp for r in simhash.set_fingerprints(sets).collect()}
+    words = [five_words(t) for _, t, *_ in rows]
+    alike = [(i, j) for i in fps for j in fps if i < j and ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 2]
+    linked = {(i, j) for i, j in alike if jaccard(words[i], words[j]) >= 0.8}
+    want = closure(len(rows), lambda i, j: (j, i) in linked)
+    assert len(linked) >= 20
+    # without the keys of minima: what fingerprints find by themselves
+    monkeypatch.setattr(simhash, "in_bands", lambda sets, *_: sets.selectExpr("node as key", "node"))
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert left == {min(i for i in range(len(rows)) if want[i] == root) for root in set(want)}
+
+
 def test_blocks_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PER_BLOCK", 6)
     rng = np.random.default_rng(5)
