@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, col, materialize, partitions, whole
+from .common import LAST_ID, col, materialize, whole
 from .tokens import word_ids
 
 MAGIC = b"RPR1"
@@ -212,8 +212,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, base: int = 4
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "start": [start], "n_tokens": [n], "n_docs": [len(held)], "image": [compress(held, names, base)]}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("image", pa.binary())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append(np.concatenate((words.encode(text), end)))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1)), strict=True):
+                held.append(np.concatenate((ids, end)))
                 names.append(doc_id)
                 n += len(held[-1])
                 if n >= shard_tokens:
@@ -224,8 +224,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 1, base: int = 4
 
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), whole(col(docs, text_col)).alias("text"))
     order = F.col("doc_id").asc_nulls_last()
-    # rows without an id, or of one id, are dealt by how their texts begin, which is in their order
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
+    # rows without an id, or of one id, are dealt by how their texts begin, which is in their order; without a number of ranges Spark
+    # may put small neighbours together, so small tables aren't hundreds of files
+    dealt = rows.repartitionByRange(order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
     return materialize(dealt.mapInArrow(run, "part int, seq int, start long, n_tokens long, n_docs long, image binary"), "shards")
 
 

@@ -8,6 +8,8 @@ met again stay; in a large one they are learned again so seldom that this is
 cheaper. Pieces of plain letters go to the library's BPE model itself, other
 pieces to its whole tokenizer, and a text whose white space isn't that plain goes
 to the whole tokenizer at once, as does one that holds an added token's string.
+Where a tokenizer drops white space, ``encode_all`` takes texts some megabytes at
+a time and looks up each different word of those once.
 
 By default a special token's string in a text is that token, as the library has
 it; with ``specials_as_text`` it is ordinary text, so that no document can forge
@@ -18,17 +20,25 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import cache
+from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters below this are in no need of Unicode normalisation.
 PLAIN_END = "ɐ"
-#: Words a worker remembers, about 200 bytes each, and those of one text more.
+#: Words a worker remembers, about 200 bytes each, and those of one text or slice more.
 CACHE_WORDS = 1_200_000
 #: A memory of fewer words than this has two generations.
 AGES_BELOW = 500_000
 TAIL = frozenset(".,;:!?")
+#: Of what drops white space, a run of these at a word's end is a piece of its own.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+#: Bytes of the texts that encode_all takes at a time.
+SLICE_BYTES = 4 << 20
 #: White space to Python and not to the tokenizers.
 ODD_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -40,6 +50,39 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def compact(texts: pa.Array) -> tuple[pa.StringArray, bytes]:
+    """The texts as an array whose bytes begin at 0, as Arrow's functions err on some slices; and those bytes."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, ends, data = texts.buffers()
+    off = np.frombuffer(ends, kind)[texts.offset : texts.offset + len(texts) + 1]
+    data = data[int(off[0]) : int(off[-1])] if data else pa.py_buffer(b"")
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((off - off[0]).astype(np.int32)), data), data.to_pybytes()
+
+
+def spans(off: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places off[i] to off[i + 1] of each number i, one after another, and where each number's end."""
+    begin = off[numbers]
+    n = off[numbers + 1] - begin
+    ends = np.cumsum(n)
+    at = np.repeat(begin - (ends - n), n)
+    at += np.arange(len(at))
+    return at, ends
+
+
+def parts(words: pa.StringArray) -> list[pa.StringArray]:
+    """Words without the marks at their ends, and those marks; a word whose stem doesn't surely end in a letter or digit stays whole."""
+    stems = pc.ascii_rtrim(words, characters=MARKS)
+    off = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)
+    data = np.append(np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(2, np.uint8))
+    cut = off[:-1] + pc.binary_length(stems).to_numpy()
+    last, before = data[cut - 1], data[cut - 2]
+    sure = (cut > off[:-1]) & (ALNUM[last] | (before == 0xC3) & (last >= 0x9F) & (last != 0xB7))  # ASCII, or ß to ÿ without ÷
+    sizes = np.where(sure, off[1:] - cut, 0)
+    at, ends = spans(np.stack((cut, cut + sizes), 1).ravel(), np.arange(0, 2 * len(words), 2))
+    marks = pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[at]))
+    return [pc.if_else(pa.array(sure), stems, words), marks]
+
+
 class WordIds(dict):
     """Word -> its number; the ids of number i are flat[off[i]:off[i + 1]]."""
 
@@ -87,10 +130,9 @@ class WordIds(dict):
                 return self._of(word[:-1]) + self.tails[word[-1]]
             return self.whole.encode(f" {word}", add_special_tokens=False).ids
         low = word.lower()
-        if low.isalpha() and (low.isascii() or max(low) < PLAIN_END):
-            return self._plain(low)
-        if low[-1] in TAIL and low[:-1].isalpha() and (low.isascii() or max(low) < PLAIN_END):
-            return self._of(low[:-1]) + self.tails[low[-1]]
+        stem = low.rstrip(MARKS)
+        if stem.isalpha() and (stem.isascii() or max(stem) < PLAIN_END):
+            return self._plain(low) if len(stem) == len(low) else self._of(stem) + self._of(low[len(stem) :])
         return self.whole.encode(word, add_special_tokens=False).ids
 
     def _of(self, word: str) -> list[int]:
@@ -109,13 +151,27 @@ class WordIds(dict):
         self[word] = n = len(self.off) - 2
         return n
 
-    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """self[word] of each; words differ and white space is dropped."""
+        numbers = list(map(self.get, words))
+        for i, word in enumerate(words):
+            if numbers[i] is not None:
+                continue
+            low = word.lower()
+            if low.isascii() and low.isalpha():
+                self.flat.extend([t.id for t in self.bpe.tokenize(low)])
+                self.off.append(len(self.flat))
+                self[word] = numbers[i] = len(self.off) - 2
+            else:
+                numbers[i] = self[word]
+        return np.array(numbers, np.int64)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one after another, and where each word's end."""
         off = np.frombuffer(self.off, dtype=np.int64)
         flat = np.frombuffer(self.flat, dtype=np.uint32) if self.flat else np.zeros(0, np.uint32)
-        begin, n = off[numbers], off[numbers + 1] - off[numbers]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - n), n)
-        return flat[at]
+        at, ends = spans(off, numbers)
+        return flat[at], ends
 
     def encode(self, text: str) -> np.ndarray:
         """The text's ids, uint32."""
@@ -123,11 +179,7 @@ class WordIds(dict):
             return np.zeros(0, np.uint32)
         if any(a in text for a in self.added) or self.added_folded and any(a in text.lower() for a in self.added_folded):
             return self._all(text)
-        if len(self) > self.max_words // (1 + self.ages):
-            elder = (dict(self), self.flat, self.off)
-            self.forget()
-            if self.ages:
-                self.elder = elder
+        self._make_room()
         if self.spaced:
             first, *rest = text.split(" ")
             if not first or first[0].isspace() or first[-1].isspace():
@@ -141,7 +193,7 @@ class WordIds(dict):
         numbers = np.fromiter(map(self.__getitem__, rest), np.int64, len(rest))
         if len(numbers) and numbers.min() < 0:
             return self._all(text)
-        ids = self._gather(numbers)
+        ids = self._gather(numbers)[0]
         if not first:
             return ids
         begin = self.firsts.get(first)
@@ -149,6 +201,51 @@ class WordIds(dict):
             begin = self.firsts[first] = self._all(first)
         return np.concatenate([begin, ids])
 
+    def _make_room(self) -> None:
+        if len(self) > self.max_words // (1 + self.ages):
+            elder = (dict(self), self.flat, self.off) if self.ages else None
+            self.forget()
+            if elder:
+                self.elder = elder
+
+    def encode_all(self, texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+        """What encode gives for each text, in their order; a null is empty."""
+        texts = texts.fill_null("")
+        if self.spaced or self.added_folded:
+            yield from map(self.encode, texts.to_pylist())
+            return
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(texts):
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + slice_bytes, "right")))
+            yield from self._slice(texts[begin:end])
+            begin = end
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        self._make_room()
+        texts, every = compact(texts)
+        low = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        # texts that encode takes another way; a search through all of them at once is much cheaper than one in each
+        every += compact(low)[1]
+        rare = [a for a in (*self.added, *ODD_CONTROLS) if a.encode() in every]
+        odd = reduce(pc.or_, [pc.match_substring(t, a) for a in rare for t in (texts, low)], pa.repeat(False, len(texts)))
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", low))
+        coded = words.flatten().dictionary_encode()
+        n = len(coded.dictionary)
+        pieces = pa.concat_arrays(parts(coded.dictionary)).dictionary_encode()
+        # pieces hold no white space, so all may come to Python as one string
+        known = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary), "\n")[0].as_py().split("\n")
+        numbers = self._numbers(known)[pieces.indices.to_numpy()]
+        flat, ends = self._gather(np.stack((numbers[:n], numbers[n:]), 1).ravel())
+        at, ends = spans(np.concatenate([[0], ends[1::2]]), coded.indices.to_numpy())
+        ids = flat[at]
+        cuts = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(words).to_numpy())].tolist()
+        begin = 0
+        for i, (end, other) in enumerate(zip(cuts, odd.to_pylist(), strict=True)):
+            yield self.encode(texts[i].as_py()) if other else ids[begin:end]
+            begin = end
+
     def _all(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -461,6 +462,25 @@ def test_word_ids_are_the_tokenizers(whole):
         assert [ids.encode(text).tolist() for text in odd] == plain
 
 
+def test_words_are_looked_up_once_for_many_texts(whole):
+    name = "word_bpe_49k.json"
+    odd = ["", None, "  ", " it's. x", "The THE the. The!!! the''***", "a<|startoftext|>,, b", "x <|ENDOFTEXT|>. y", "don't, DON'T?", "İ. é. ÷. ΣΑΣ. 한. ½. 1. ». »", "e\u0301. J\u030c. =\u0338 <.\u0338", "a\x1cb. \x85d\xa0e.", "\x01. \x7f.", "ꝏ. ɐ. ſ. K.", "\U0001f600. ok", "le été. LE ÉTÉ, où? ß. ÿ;"]
+    texts = odd + [r[1] for r in ROWS] + odd
+    want = [whole[name].encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (20, 1_200_000):
+        ids = WordIds(public_path(name), max_words=most)
+        for given in (pa.array(["before", *texts])[1:], pa.array(["before", *texts], pa.large_string())[1:]):
+            for slice_bytes in (1, 40, 1 << 20):
+                assert [x.tolist() for x in ids.encode_all(given, slice_bytes)] == want
+    spaced = WordIds(public_path("byte_bpe_50k.json"))
+    assert [x.tolist() for x in spaced.encode_all(pa.array(odd))] == [whole["byte_bpe_50k.json"].encode(t or "", add_special_tokens=False).ids for t in odd]
+    ids, asked = WordIds(public_path(name)), []
+    ids.get = lambda word: asked.append(word) or dict.get(ids, word)
+    texts = ["stem stem. Stem!!! STEM*** other"] * 500 + ["other, stem?"]
+    assert [x.tolist() for x in ids.encode_all(pa.array(texts))] == [whole[name].encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == ["", "!!!", "***", ",", ".", "?", "other", "stem"]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -555,6 +575,12 @@ def test_token_files(spark, docs, whole):
     assert token_files.read_shards(token_files.write_shards(cases.empty(spark), public_path("word_bpe_49k.json"))).count() == 0
 
 
+def test_a_small_table_is_one_range_of_shards(spark, docs):
+    shards = token_files.write_shards(docs, public_path("word_bpe_49k.json"), shard_tokens=300)
+    assert [r.part for r in shards.select("part").distinct().collect()] == [0]
+    assert [r.seq for r in shards.orderBy("start").collect()] == list(range(shards.count()))
+
+
 def test_grammar_gives_random_access():
     rng = np.random.default_rng(4)
     for base, top in ((49408, 40), (70000, 60000)):
