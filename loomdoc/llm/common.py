@@ -6,6 +6,7 @@ import ctypes
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +32,12 @@ def materialize(df: DataFrame, tag: str, codec: str = "snappy", most_rows: int |
         df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
     path = f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", codec).parquet(path)
+    tidy_driver(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tidy() -> None:
-    """In a Python worker: give memory that is free back to the system. Workers outlive their tasks."""
+    """In a Python process: give memory that is free back to the system. Workers outlive their tasks, and so does the driver."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -43,6 +45,24 @@ def tidy() -> None:
         return
 
 
+def tidy_driver(spark: SparkSession) -> bool:
+    """In the driver's JVM: give native memory that is free back to the system; whether it could. The hundreds of threads that Spark
+    plans, compiles and sends with free it into arenas of their own, where it stays: a chain of many small queries holds more and more."""
+    try:
+        lang, gateway = spark._jvm.java.lang, spark.sparkContext._gateway
+        # by reflection, as the server's class is hidden: only its interface may be called
+        kinds = gateway.new_array(lang.Class, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = lang.Class.forName(kind)
+        given = gateway.new_array(lang.Object, 4)
+        given[0], given[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = lang.management.ManagementFactory.getPlatformMBeanServer()
+        lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+    except (AttributeError, TypeError, Py4JError):  # no JVM beside this process, or one that can't: Java before 17.0.9, another C library
+        return False
+    return True
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, in whatever case."""
     taken = {c.lower() for c in df.columns}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, whole
+from .common import col, fresh, tidy, tidy_driver, whole
 
 #: name, and the SQL of its 0/1 label over the table of labels; the chain's order
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -216,8 +216,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
     once = found.groupBy("label_id", *columns, "place").agg(F.min("bag").alias("bag"))  # max_train_rows rows
     so_far = F.sum(F.octet_length("bag").cast("long")).over(Window.orderBy("place", "label_id").rowsBetween(Window.unboundedPreceding, 0))
     pdf: pd.DataFrame = once.withColumn("so_far", so_far).where(F.col("so_far") <= max_train_bytes).drop("so_far").toPandas()
+    tidy_driver(docs.sparkSession)  # before the models take their memory
     pdf = pdf.sort_values(["place", "label_id"], ignore_index=True)
-    return fit_chain(Features(pdf["bag"].tolist()), pdf[columns].to_numpy(), (pdf["place"].to_numpy() % folds), [n for n, _ in categories], max_words)
+    chain = fit_chain(Features(pdf["bag"].tolist()), pdf[columns].to_numpy(), (pdf["place"].to_numpy() % folds), [n for n, _ in categories], max_words)
+    del pdf
+    tidy()
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdoc.llm import toxicity
+from loomdoc.llm.common import materialize
 from loomdoc.llm.queries import ORACLE, QUERIES
 
 from . import cases
@@ -120,6 +121,21 @@ def test_threshold():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_native_memory_that_is_free_leaves_the_driver(spark):
+    def held():
+        pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+        with open(f"/proc/{pid}/status") as f:
+            return int(re.search(r"RssAnon:\s+(\d+)", f.read())[1]) / 1024
+
+    materialize(spark.range(10), "before")
+    buffers = [spark._jvm.java.util.zip.Deflater() for _ in range(2000)]  # some 100 KB each, not on the heap
+    for b in buffers[:-1]:
+        b.end()
+    most = held()
+    materialize(spark.range(10), "after")
+    assert held() < most - 80
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
