@@ -20,8 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -63,32 +62,36 @@ class Assembler(StatefulProcessor):
         self.chunks = handle.getMapState("chunks", "seq int", "chunk binary", self.ttl_ms)
         self.about = handle.getValueState("about", "last int, size long, n int, ended string", self.ttl_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        last, size, n, ended = self.about.get() if self.about.exists() else (-1, 0, 0, None)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        last, size, n, ended = self.about.get() or (-1, 0, 0, None)
+        kept, new = n > 0, {}  # whether chunks are state; chunks that aren't yet, and needn't be if the document ends here
         out: list[tuple] = []
-        for r in sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r.seq):
-            seq, chunk = int(r.seq), bytes(r.chunk) if r.chunk is not None else b""
-            if ended == "Done" and seq <= last or not ended and self.chunks.containsKey((seq,)):
+        for r in sorted(rows, key=lambda r: r.seq):
+            seq, chunk = r.seq, r.chunk or b""
+            if ended == "Done" and seq <= last or not ended and (seq in new or kept and self.chunks.containsKey((seq,))):
                 continue  # again
             if ended:
                 out.append((None, TERMINATED))
                 continue
             size, n = size + len(chunk), n + 1
             last = seq if r.is_last else last
+            new[seq] = chunk
             if error := self.options.check(size):
                 out.append((None, error))
                 ended = "Error"
-                self.chunks.clear()
-                continue
-            self.chunks.updateValue((seq,), (chunk,))
-            if n == last + 1:
-                parts = sorted((k[0], bytes(v[0])) for k, v in self.chunks.iterator())
-                out.append((b"".join(c for _, c in parts), None))
+            elif n == last + 1:
+                parts = new | {k[0]: bytes(v[0]) for k, v in self.chunks.iterator()} if kept else new
+                out.append((b"".join(parts[k] for k in sorted(parts)), None))
                 ended = "Done"
-                self.chunks.clear()
+            if ended:
+                new = {}
+                if kept:
+                    self.chunks.clear()
+        for seq, chunk in new.items():
+            self.chunks.updateValue((seq,), (chunk,))
         self.about.update((last, size, n, ended))
-        if out:
-            yield pd.DataFrame({"doc_id": [key[0]] * len(out), "raw": [x for x, _ in out], "error": [e for _, e in out]})
+        for raw, error in out:
+            yield Row(doc_id=key[0], raw=raw, error=error)
 
     def close(self) -> None:
         pass
@@ -102,7 +105,7 @@ def assemble_stream(chunks: DataFrame, options: ParseOptions = ParseOptions(), t
         raise ValueError(f"set {PROVIDER} to {ROCKSDB}")
     kind = chunks.schema["doc_id"].dataType.simpleString()
     rows = chunks.select("doc_id", F.col("seq").cast("int").alias("seq"), "chunk", "is_last")
-    return rows.groupBy("doc_id").transformWithStateInPandas(Assembler(options, ttl_ms), f"doc_id {kind}, raw binary, error string", "Append", "None" if ttl_ms is None else "ProcessingTime")
+    return rows.groupBy("doc_id").transformWithState(Assembler(options, ttl_ms), f"doc_id {kind}, raw binary, error string", "Append", "None" if ttl_ms is None else "ProcessingTime")
 
 
 def parse_stream(chunks: DataFrame, options: ParseOptions = ParseOptions(), ttl_ms: int | None = DAY_MS) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .chunks import PROVIDER, ROCKSDB
 
 _OWN: set[str] = set()
+#: Of files, compressed, that a micro-batch reads at most, if one file isn't more.
+BATCH_BYTES = 1 << 30
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,16 +44,28 @@ def clear(spark: SparkSession) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def dealt(rows: DataFrame, files: int) -> DataFrame:
+    """A scan of fewer splits than that is dealt over all cores, and its documents over files. Others stay as they are: a document's rows
+    come one after another then, and no more than the splits' number is written at once anyhow."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= files:  # a shuffle would be run to count
+        return rows
+    return rows.repartition(max(files, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def run_available(rows: DataFrame, plan: Callable[[DataFrame], DataFrame], files: int = 4) -> DataFrame:
-    """rows written as files, read as a stream, a file or so at a time, through plan, until all is read; what came out, as a table.
-    Recovers from lost executors as any stream does; state is in RocksDB for the time of the run."""
+    """rows written as files, read as a stream, BATCH_BYTES or half of them at a time, through plan, until all is read; what came out, as
+    a table. Recovers from lost executors as any stream does; state is in RocksDB for the time of the run, as are the files read."""
     spark = rows.sparkSession
     base = f"{own_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    rows.repartition(files).write.parquet(f"{base}/in")
+    dealt(rows, files).write.parquet(f"{base}/in")
+    written = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/in")
+    store = written.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    size = min(BATCH_BYTES, max(1, store.getContentSummary(written).getLength() // 2))
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        out = plan(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in"))
+        out = plan(spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", size).parquet(f"{base}/in"))
         schema = out.schema
         out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
     finally:
@@ -59,4 +73,5 @@ def run_available(rows: DataFrame, plan: Callable[[DataFrame], DataFrame], files
             spark.conf.unset(PROVIDER)
         else:
             spark.conf.set(PROVIDER, before)
+        store.delete(written, True)
     return spark.read.schema(schema).parquet(f"{base}/out")

@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomdoc.functions.sql import register
@@ -10,7 +11,7 @@ from loomdoc.plans.inside import Path, find
 from loomdoc.sources import dom
 from loomdoc.sources.dom import ParseOptions, parse_one
 from loomdoc.sources.tokenizer import tokenize
-from loomdoc.streaming import chunks, early
+from loomdoc.streaming import chunks, early, files
 from loomdoc.streaming.incremental import StreamParser, StreamTokenizer, decode_chunks
 
 PAGES = ["<p>é</p>" * 30, "", '<meta charset="latin1"><pre>\r\nx' + "y" * 2000, "<script>a</script" + " b" * 700 + ">c"]
@@ -72,6 +73,83 @@ def test_stream_limit(spark, raw, tmp_path, rocksdb):
     assert sorted(errors) == ["InputTooLarge"] + ["ParserTerminated"] * (len(errors) - 1) and len(errors) > 1
 
 
+class Kept:
+    """A value or a map of state, in memory; calls are counted."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, {"update": 0, "containsKey": 0}
+
+    def get(self):
+        return self.value
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls["containsKey"] += 1
+        return key in self.map
+
+    def updateValue(self, key, value):
+        self.calls["update"] += 1
+        self.map[key] = value
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+    def clear(self):
+        self.map = {}
+
+
+def test_only_what_waits_is_state():
+    """Chunks of a document that is whole in one micro-batch are never written, those that wait are once, repeats or not."""
+    whole = chunks.Assembler(ParseOptions(), None)
+    whole.about, whole.chunks = Kept(), Kept()
+    rows = [Row(doc_id=1, seq=i, chunk=bytes([97 + i]), is_last=i == 3) for i in (2, 0, 3, 1, 2)]
+    assert [tuple(r) for r in whole.handleInputRows((1,), iter(rows), None)] == [(1, b"abcd", None)]
+    assert whole.chunks.calls == {"update": 0, "containsKey": 0} and whole.about.value == (3, 4, 4, "Done")
+    assert list(whole.handleInputRows((1,), iter(rows), None)) == []
+    late = chunks.Assembler(ParseOptions(), None)
+    late.about, late.chunks = Kept(), Kept()
+    got = [[tuple(r) for r in late.handleInputRows((1,), iter(part), None)] for part in (rows[:2], rows[:1], rows[2:])]
+    assert got == [[], [], [(1, b"abcd", None)]] and late.chunks.calls["update"] == 2 and not late.chunks.map
+    small = chunks.Assembler(ParseOptions(3), None)
+    small.about, small.chunks = Kept(), Kept()
+    got = [[r.error.split(":")[0] for r in small.handleInputRows((1,), iter(part), None)] for part in (rows[:2], rows[2:])]
+    assert got == [[], ["InputTooLarge"]] and not small.chunks.map and small.about.value[3] == "Error"
+
+
+def test_many_splits_are_not_dealt_anew(spark, tmp_path):
+    """As many files as the table has splits, all read and then gone; a table of one split is dealt, and comes in several micro-batches."""
+    pages = spark.range(60).selectExpr("id AS page_id", "encode(concat('<p>', repeat('x', 900), id), 'UTF-8') AS raw")
+    for name, splits in (("many", 6), ("one", 1)):
+        pages.repartition(splits).write.parquet(str(tmp_path / name))
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+    try:
+        for name in ("many", "one"):
+            there = []
+
+            def texts(stream, there=there):
+                there.extend(files_in(spark))
+                return find(chunks.assemble_stream(stream, ttl_ms=None), Path().select("p"), ("text_content",), "doc_id", "raw")
+
+            got = files.run_available(chunks.chunked(spark.read.parquet(str(tmp_path / name)), 256), texts).collect()
+            assert sorted((r.doc_id, r.text_content) for r in got) == [(i, "x" * 900 + str(i)) for i in range(60)]
+            assert len(there) == (6 if name == "many" else 4) and not files_in(spark)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def files_in(spark):
+    import pathlib
+
+    return list(pathlib.Path(files.own_dir(spark).removeprefix("file://")).glob("stream-*/in/*.parquet"))
+
+
 def test_a_stream_forgets(spark, raw, tmp_path, rocksdb):
     """With a time to live, and without RocksDB an error that says so."""
     cut = chunks.chunked(raw, 700)
