@@ -144,6 +144,13 @@ def test_many_splits_are_not_dealt_anew(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_a_null_id_among_numbers_in_a_stream(spark):
+    """It is one document's id, and the others keep theirs."""
+    pages = spark.range(60).selectExpr("if(id = 3, null, id) AS page_id", "encode(concat(repeat('<p>', 20), id), 'UTF-8') AS raw")
+    got = files.run_available(chunks.chunked(pages, 16), lambda s: chunks.assemble_stream(s, ttl_ms=None)).collect()
+    assert {(r.doc_id, bytes(r.raw)) for r in got} == {(None if i == 3 else i, b"<p>" * 20 + b"%d" % i) for i in range(60)} and len(got) == 60
+
+
 def files_in(spark):
     import pathlib
 
