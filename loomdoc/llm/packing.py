@@ -53,8 +53,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int
         words, end = word_ids(tokenizer, cache_words), np.array([end_id], np.uint32)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate((words.encode(text), end), dtype="<u4")
+            for doc_id, coded in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1)), strict=True):
+                ids = np.concatenate((coded, end), dtype="<u4")
                 for i, (start, n) in enumerate(cut(len(ids), room)):
                     raw = ids[start : start + n].tobytes()
                     for to, value in zip(out, (doc_id, i, start, n, zlib.crc32(raw), raw if with_ids else None), strict=True):

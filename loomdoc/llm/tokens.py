@@ -8,8 +8,13 @@ met again stay; in a large one they are learned again so seldom that this is
 cheaper. Pieces of plain letters go to the library's BPE model itself, other
 pieces to its whole tokenizer, and a text whose white space isn't that plain goes
 to the whole tokenizer at once, as does one that holds an added token's string.
-Where a tokenizer drops white space, ``encode_all`` takes texts some megabytes at
-a time and looks up each different word of those once.
+``encode_all`` takes texts some megabytes at a time and looks up each different
+word of those once. Where a tokenizer drops white space, it remembers words as
+above. A byte-level tokenizer that keeps white space is followed in arrays: texts
+are cut before white space as its pattern cuts them, different words by classes
+of characters, and the merges go through all different pieces at once
+(``Merges``), which costs less than remembering them, so nothing grows with the
+input but what words of rarer characters need.
 
 By default a special token's string in a text is that token, as the library has
 it; with ``specials_as_text`` it is ordinary text, so that no document can forge
@@ -37,10 +42,20 @@ TAIL = frozenset(".,;:!?")
 #: Of what drops white space, a run of these at a word's end is a piece of its own.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
-#: Bytes of the texts that encode_all takes at a time.
+#: Bytes of the texts that encode_all takes at a time, and where pieces aren't remembered.
 SLICE_BYTES = 4 << 20
+ARRAY_BYTES = 8 << 20
+#: Merges takes pieces of up to this many bytes, and of a length that so many pieces have at least; the model takes the others.
+LONGEST = 48
+FEWEST = 24
 #: White space to Python and not to the tokenizers.
 ODD_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+ODD_SPACES = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: What Merges can follow: byte-level BPE over GPT-2's pattern.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+SPACE, LETTER, DIGIT, MARK, UNSURE = range(5)
+CLASSES = np.array([SPACE if b in b" \t\n\v\f\r" else LETTER if chr(b).isalpha() else DIGIT if chr(b).isdigit() else MARK if 32 < b < 127 and b != 39 else UNSURE for b in range(128)] + [UNSURE] * 128, np.uint8)
+IS_SPACE = CLASSES == SPACE
 
 
 def byte_letters() -> dict[int, str]:
@@ -83,6 +98,123 @@ def parts(words: pa.StringArray) -> list[pa.StringArray]:
     return [pc.if_else(pa.array(sure), stems, words), marks]
 
 
+def strings(begins: np.ndarray, data: pa.Buffer | None) -> pa.StringArray:
+    """data cut at begins, of which the last is its end."""
+    return pa.StringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins.astype(np.int32)), data or pa.py_buffer(b""))
+
+
+def cut_words(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where words begin in texts data[off[i]:off[i + 1]], and the end: before the last of a run of white space if a word follows it,
+    before a run otherwise. GPT-2's pattern surely cuts there, whatever stands around."""
+    space = IS_SPACE[data]
+    last = np.empty(len(data), bool)  # no space after it in its text
+    last[:-1] = ~space[1:]
+    last[off[1:][off[1:] > 0] - 1] = False
+    begin = np.ones(len(data), bool)
+    begin[1:] = space[1:] & (~space[:-1] | last[1:])
+    begin[off[:-1][off[:-1] < len(data)]] = True
+    return np.append(np.flatnonzero(begin), len(data))
+
+
+def cut_pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of words begin, and the end; and the numbers of words in which that isn't sure. A space goes with what is after it."""
+    kind = CLASSES[data]
+    wide = np.flatnonzero(data >= 128)
+    if len(wide):
+        lead = data[wide]
+        after = data[np.minimum(wide + 1, len(data) - 1)]
+        # U+00C0 to U+024F but × and ÷
+        letter = (lead >= 0xC3) & (lead <= 0xC8) & ~((lead == 0xC3) & ((after == 0x97) | (after == 0xB7))) | (lead == 0xC9) & (after <= 0x8F)
+        kind[wide[letter]] = LETTER
+        kind[wide[letter] + 1] = LETTER
+    begin = np.ones(len(data), bool)
+    begin[1:] = (kind[1:] != kind[:-1]) & (data[:-1] != 32)
+    begin[off[:-1]] = True
+    unsure = np.unique(np.searchsorted(off, np.flatnonzero(kind == UNSURE), "right") - 1)
+    return np.append(np.flatnonzero(begin), len(data)), unsure
+
+
+class Merges:
+    """Byte-level BPE over many pieces at once: in each round every piece merges its pair of the lowest rank, the leftmost of those."""
+
+    def __init__(self, model: dict, merges: list[tuple[str, str]], letters: dict[int, str]):
+        vocab = model["vocab"]
+        self.ids = np.array([vocab[letters[b]] for b in range(256)], np.int64)
+        ranks = {(vocab[a], vocab[b]): (n, vocab[a + b]) for n, (a, b) in enumerate(merges)}
+        self.wide = max(vocab.values()) + 1
+        self.none = len(merges)
+        self.made = np.zeros(len(merges) + 1, np.int64)
+        pairs = np.array(list(ranks), np.int64).reshape(-1, 2)
+        values = np.array(list(ranks.values()), np.int64).reshape(-1, 2)
+        self.made[values[:, 0]] = values[:, 1]
+        codes = pairs[:, 0] * self.wide + pairs[:, 1]
+        bits = max(8, (16 * len(codes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # open addressing; a row of misses may run beyond the end
+        self.codes = np.full((1 << bits) + len(codes) + 1, -1, np.int64)
+        self.ranks = np.full(len(self.codes), self.none, np.int32)
+        left, at = np.arange(len(codes)), self._slots(codes)
+        while len(left):
+            free = self.codes[at] < 0
+            slot, first = np.unique(at[free], return_index=True)
+            placed = np.flatnonzero(free)[first]
+            self.codes[slot], self.ranks[slot] = codes[left[placed]], values[left[placed], 0]
+            stay = np.ones(len(left), bool)
+            stay[placed] = False
+            left, at = left[stay], at[stay] + 1
+        b = np.arange(256)
+        self.first = self._rank(np.repeat(self.ids[b], 256), np.tile(self.ids[b], 256))
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Each pair's rank, or none."""
+        codes = left * self.wide + right
+        at = self._slots(codes)
+        found = self.codes[at]
+        out = self.ranks[at]
+        rest = np.flatnonzero((found != codes) & (found >= 0))
+        out[found < 0] = self.none
+        while len(rest):
+            at[rest] += 1
+            found = self.codes[at[rest]]
+            hit = found == codes[rest]
+            out[rest] = np.where(hit, self.ranks[at[rest]], self.none)
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+    def group(self, raw: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """raw has a piece's bytes in each column. (columns, their ids in columns) of pieces with as many ids each."""
+        out = []
+        columns, symbols = np.arange(raw.shape[1]), self.ids[raw]
+        ranks = self.first[raw[:-1].astype(np.int64) << 8 | raw[1:]] if len(raw) > 1 else np.zeros((0, raw.shape[1]), np.int32)
+        while len(ranks):
+            best = ranks[0] << 6
+            for k in range(1, len(ranks)):
+                np.minimum(best, ranks[k] << 6 | k, out=best)
+            go = best < self.none << 6
+            if not go.all():
+                done = np.flatnonzero(~go)
+                out.append((columns[done], symbols[:, done]))
+                go = np.flatnonzero(go)
+                if not len(go):
+                    return out
+                columns, symbols, ranks, best = columns[go], symbols[:, go], ranks[:, go], best[go]
+            pos, new, n = best & 63, self.made[best >> 6], np.arange(len(columns))
+            for k in range(len(ranks)):
+                np.copyto(symbols[k], symbols[k + 1], where=pos < k)
+                if k + 1 < len(ranks):
+                    np.copyto(ranks[k], ranks[k + 1], where=pos <= k)
+            symbols, ranks = symbols[:-1], ranks[:-1]
+            symbols[pos, n] = new
+            has = np.flatnonzero(pos > 0)
+            ranks[pos[has] - 1, has] = self._rank(symbols[pos[has] - 1, has], new[has])
+            has = np.flatnonzero(pos < len(ranks))
+            ranks[pos[has], has] = self._rank(new[has], symbols[pos[has] + 1, has])
+        return [*out, (columns, symbols)]
+
+
 class WordIds(dict):
     """Word -> its number; the ids of number i are flat[off[i]:off[i + 1]]."""
 
@@ -105,6 +237,10 @@ class WordIds(dict):
         self.letters = byte_letters()
         self.space = self.letters[32] if self.spaced else ""
         self.tails = {c: self._plain(c) for c in TAIL}
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        pattern = {k: (spec.get("pre_tokenizer") or {}).get(k) for k in BYTE_LEVEL}
+        every = all(c in model["vocab"] for c in self.letters.values())
+        self.merges = Merges(model, merges, self.letters) if self.spaced and plain and every and pattern == BYTE_LEVEL and not self.added_folded else None
         self.max_words, self.ages = max_words, max_words < AGES_BELOW
         self.forget()
 
@@ -113,6 +249,7 @@ class WordIds(dict):
         self.flat, self.off = array("I"), array("q", [0])
         self.elder: tuple[dict[str, int], array, array] = ({}, self.flat, self.off)
         self.firsts: dict[str, np.ndarray] = {}  # words that begin a text, without a space before them
+        self.others: dict[str, np.ndarray] = {}  # words that arrays can't cut
 
     def _plain(self, word: str, space: str = "") -> list[int]:
         """The model's ids of a piece in its own letters; ASCII letters and marks stand for themselves."""
@@ -208,18 +345,19 @@ class WordIds(dict):
             if elder:
                 self.elder = elder
 
-    def encode_all(self, texts: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+    def encode_all(self, texts: pa.Array, slice_bytes: int | None = None) -> Iterator[np.ndarray]:
         """What encode gives for each text, in their order; a null is empty."""
         texts = texts.fill_null("")
-        if self.spaced or self.added_folded:
+        if not self.merges and (self.spaced or self.added_folded):
             yield from map(self.encode, texts.to_pylist())
             return
+        slice_bytes = slice_bytes or (ARRAY_BYTES if self.merges else SLICE_BYTES)
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         begin = 0
         while begin < len(texts):
             before = int(ends[begin - 1]) if begin else 0
             end = max(begin + 1, int(np.searchsorted(ends, before + slice_bytes, "right")))
-            yield from self._slice(texts[begin:end])
+            yield from (self._arrays if self.merges else self._slice)(texts[begin:end])
             begin = end
 
     def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
@@ -246,6 +384,86 @@ class WordIds(dict):
             yield self.encode(texts[i].as_py()) if other else ids[begin:end]
             begin = end
 
+    def _arrays(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        self._make_room()
+        given, every = compact(texts)
+        texts = given
+        rare = [a for a in (*self.added, *ODD_CONTROLS) if a.encode() in every]
+        odd = reduce(pc.or_, [pc.match_substring(texts, a) for a in rare], pa.repeat(False, len(texts)))
+        if any(lead in every for lead in (b"\xc2", b"\xe1", b"\xe2", b"\xe3")):
+            odd = pc.or_(odd, pc.match_substring_regex(texts, ODD_SPACES))
+        if pc.any(odd).as_py():
+            texts, every = compact(pc.if_else(odd, "", texts))
+        off = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1)
+        begins = cut_words(np.frombuffer(every, np.uint8), off)
+        coded = strings(begins, texts.buffers()[2]).dictionary_encode()
+        flat, ends = self._word_ids(coded.dictionary)
+        at, ends = spans(ends, coded.indices.to_numpy())
+        ids = flat[at]
+        cuts = np.concatenate([[0], ends])[np.searchsorted(begins, off[1:])].tolist()
+        begin = 0
+        for i, (end, other) in enumerate(zip(cuts, odd.to_pylist(), strict=True)):
+            yield self.encode(given[i].as_py()) if other else ids[begin:end]
+            begin = end
+
+    def _word_ids(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that cut_words made, one after another, and where each word's begin and end."""
+        words, raw = compact(words)
+        off, data = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1), np.frombuffer(raw, np.uint8)
+        begins, unsure = cut_pieces(data, off)
+        pieces = strings(begins, words.buffers()[2]).dictionary_encode()
+        flat, ends = self._piece_ids(pieces.dictionary)
+        first = np.searchsorted(begins, off)  # of each word its first piece
+        at, piece_ends = spans(ends, pieces.indices.to_numpy())
+        flat, ends = flat[at], np.concatenate([[0], piece_ends])[first]
+        if not len(unsure):
+            return flat, ends
+        others = [self._odd_word(words[i].as_py()) for i in unsure.tolist()]
+        sizes = np.diff(ends)
+        sizes[unsure] = [len(x) for x in others]
+        new = np.concatenate([[0], np.cumsum(sizes)])
+        sure = np.setdiff1d(np.arange(len(words)), unsure, assume_unique=True)
+        out = np.empty(new[-1], np.uint32)
+        out[spans(new, sure)[0]] = flat[spans(ends, sure)[0]]
+        out[spans(new, unsure)[0]] = np.concatenate(others)
+        return out, new
+
+    def _odd_word(self, word: str) -> np.ndarray:
+        """The ids of a word that the pattern may cut in ways cut_pieces doesn't know, remembered."""
+        ids = self.others.get(word)
+        if ids is None:
+            if len(self.others) > self.max_words // 4:
+                self.others = {}
+            ids = self._all(word)
+            if len(word) <= LONGEST:
+                self.others[word] = ids
+        return ids
+
+    def _piece_ids(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, one after another, and where each piece's begin and end."""
+        pieces, raw = compact(pieces)
+        off, data = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1), np.frombuffer(raw, np.uint8)
+        lengths = np.diff(off)
+        order = np.argsort(lengths, kind="stable")
+        bounds = np.flatnonzero(np.diff(lengths[order], prepend=-1, append=-1))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            these, n = order[a:b], int(lengths[order[a]])
+            if n > LONGEST or len(these) < FEWEST:
+                for i in these.tolist():
+                    letters = raw[off[i] : off[i + 1]].decode("latin-1").translate(self.letters)
+                    found.append((np.array([i]), np.array([[t.id] for t in self.bpe.tokenize(letters)], np.int64)))
+            else:
+                found += [(these[columns], ids) for columns, ids in self.merges.group(data[off[these] + np.arange(n)[:, None]])]
+        sizes = np.zeros(len(pieces), np.int64)
+        for columns, ids in found:
+            sizes[columns] = len(ids)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.empty(ends[-1], np.uint32)
+        for columns, ids in found:
+            flat[ends[columns] + np.arange(len(ids))[:, None]] = ids
+        return flat, ends
+
     def _all(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 

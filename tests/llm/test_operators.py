@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomdoc.llm import chat, exact_dedup, gif, mixing, packing, simhash, suffix_dedup, token_files
+from loomdoc.llm import chat, exact_dedup, gif, mixing, packing, simhash, suffix_dedup, token_files, tokens
 from loomdoc.llm.tokens import WordIds, public_path
 
 from . import cases
@@ -481,6 +481,51 @@ def test_words_are_looked_up_once_for_many_texts(whole):
     assert sorted(asked) == ["", "!!!", "***", ",", ".", "?", "other", "stem"]
 
 
+def test_new_words_of_many_texts_go_through_the_merges_at_once(whole):
+    rng = __import__("random").Random(4)
+    texts = [" ".join(cases.prose(rng, 40).replace(" ", rng.choice([" ", "\n"])) + f"{rng.randrange(10**9)}Été." for _ in range(3)) for _ in range(200)]
+    ids, asked = WordIds(public_path("byte_bpe_50k.json")), []
+    ids._plain = ids._all = lambda *given: asked.append(given) or np.zeros(0, np.uint32)
+    want = [x.ids for x in whole["byte_bpe_50k.json"].encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in ids.encode_all(pa.array(texts))] == want
+    assert not asked and not ids and not ids.firsts and not ids.others
+
+
+def test_texts_in_arrays_are_cut_as_the_tokenizer_cuts(whole):
+    rng = __import__("random").Random(6)
+    atoms = [*"abeThs.,!#", "the", "ing", "é", "ß", "÷", "×", "À", "ɏ", "ɐ", "²", "ª", "1", "23", "'", "'s", "'ll", " ", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\v"]
+    rare = ["\x1c", "\x01", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "漢", "Д", "\U0001f600", "e\u0301", "<|endoftext|>", "x" * 70, " " * 60]
+    texts = [None, "", *("".join(rng.choices(atoms + rare * (i % 3 == 0), k=rng.choice((1, 3, 20, 200)))) for i in range(900)), None]
+    want = [x.ids for x in whole["byte_bpe_50k.json"].encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    ids = WordIds(public_path("byte_bpe_50k.json"), max_words=20)
+    for given in (pa.array(["before", *texts])[1:], pa.array(["before", *texts], pa.large_string())[1:]):
+        for slice_bytes in (1, 400, None):
+            assert [x.tolist() for x in ids.encode_all(given, slice_bytes)] == want
+    assert list(ids.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_merges_are_the_models_in_whatever_order():
+    from tokenizers import models
+
+    rng = __import__("random").Random(5)
+    letters = tokens.byte_letters()
+    for _ in range(20):
+        vocab, merges = {c: n for n, c in enumerate(letters.values())}, []
+        for _ in range(60):
+            pair = (rng.choice(["a", "b", "c", *list(vocab)[256:]]), rng.choice(["a", "b", "c", *list(vocab)[256:]]))
+            if pair not in merges and len("".join(pair)) < 8:
+                merges.append(pair)
+                vocab.setdefault("".join(pair), len(vocab))
+        rng.shuffle(merges)  # a pair may outrank what its halves are made by
+        model, ours = models.BPE(vocab=vocab, merges=merges, cache_capacity=0), tokens.Merges({"vocab": vocab}, merges, letters)
+        for n in (1, 2, 3, 9, 48):
+            pieces = ["".join(rng.choices("abc", k=n)) for _ in range(80)]
+            got = {}
+            for columns, ids in ours.group(np.array([list(x.encode()) for x in pieces], np.uint8).T):
+                got |= dict(zip(columns.tolist(), ids.T.tolist(), strict=True))
+            assert [got[i] for i in range(80)] == [[t.id for t in model.tokenize(x)] for x in pieces]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
